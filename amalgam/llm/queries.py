@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amalgam.llm import mixing, secret_scan
+from amalgam.llm import mixing, packing, secret_scan, sharding
 
-MODULES = (mixing, secret_scan)
+MODULES = (sharding, packing, mixing, secret_scan)
 
 
 def queries() -> dict:
