@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amalgam.llm import mixing, packing, secret_scan, sharding
+from amalgam.llm import mixing, packing, secret_scan, sharding, topk
 
-MODULES = (sharding, packing, mixing, secret_scan)
+MODULES = (sharding, packing, mixing, secret_scan, topk)
 
 
 def queries() -> dict:
