@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amalgam.llm import mixing, packing, secret_scan, sharding, topk
+from amalgam.llm import mixing, packing, secret_scan, sharding, topk, toxicity
 
-MODULES = (sharding, packing, mixing, secret_scan, topk)
+MODULES = (sharding, packing, mixing, secret_scan, toxicity, topk)
 
 
 def queries() -> dict:
