@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amalgam.llm import mixing, packing, personal_data, secret_scan, sharding, topk, toxicity
+from amalgam.llm import mixing, packing, personal_data, secret_scan, sharding, substrings, topk, toxicity
 
-MODULES = (sharding, packing, personal_data, mixing, secret_scan, toxicity, topk)
+MODULES = (sharding, packing, personal_data, substrings, mixing, secret_scan, toxicity, topk)
 
 
 def queries() -> dict:
