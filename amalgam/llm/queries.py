@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from amalgam.llm import jaccard_join, mixing, packing, personal_data, secret_scan, sharding, substrings, topk, toxicity
+from amalgam.llm import jaccard_join, mixing, neighbours, packing, personal_data, secret_scan, sharding, substrings, topk, toxicity
 
-MODULES = (sharding, jaccard_join, packing, personal_data, substrings, mixing, secret_scan, toxicity, topk)
+MODULES = (sharding, jaccard_join, packing, personal_data, substrings, neighbours, mixing, secret_scan, toxicity, topk)
 
 
 def queries() -> dict:
