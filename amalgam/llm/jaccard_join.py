@@ -244,9 +244,14 @@ def _shingled(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInPandas(run, "grp long, nb long, key long, copies long, shingles binary")
 
 
+def row_key() -> F.Column:
+    """A key of the row's doc_id and text; repeated rows share it."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def jaccard_classes(docs: DataFrame, stages: Stages, threshold: float = THRESHOLD, recall: float = RECALL, k: int = WORDS, bucket: int = BUCKET, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """docs (doc_id, text) to doc_id, class_id, n_links, one row a document."""
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "text")
+    """docs (doc_id, text) to row (see row_key), doc_id, class_id, n_links, and the row of the class that stays."""
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), row_key().alias("row"), "text")
     scanned = stages.put(_sets(keyed, k), "scanned")
     sets = scanned.where("n > 0").groupBy("key").agg(F.min("doc").alias("owner"), F.min_by("row", F.struct("doc", "row")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("minima").alias("minima"))
     sets = stages.put(sets, "sets")
@@ -261,12 +266,14 @@ def jaccard_classes(docs: DataFrame, stages: Stages, threshold: float = THRESHOL
     found = stages.put(_verified(cut, threshold), "verified")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")), stages)
-    own = sets.select("key", "owner", "copies").join(joined.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    classes = own.groupBy("c").agg(F.min("owner").alias("class"))
-    own = own.join(classes, "c").join(links, "key", "left").select("key", "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = scanned.select("doc", "key", "n").join(own, "key", "left")
+    own = sets.select("key", "owner", "row", "copies").join(joined.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    classes = own.groupBy("c").agg(F.min("owner").alias("class"), F.min_by("row", F.struct("owner", "row")).alias("stays"))
+    own = own.join(classes, "c").join(links, "key", "left").select("key", "class", "stays", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    out = scanned.select("doc", "row", "key", "n").join(own, "key", "left")
     some = F.col("n") > 0
     return out.select(
+        "row",
+        F.when(some, F.col("stays")).otherwise(F.col("row")).alias("stays"),
         F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),
         F.when(F.when(some, F.col("class")).otherwise(F.col("doc")) != LAST, F.when(some, F.col("class")).otherwise(F.col("doc"))).alias("class_id"),
         F.when(some, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
@@ -274,7 +281,7 @@ def jaccard_classes(docs: DataFrame, stages: Stages, threshold: float = THRESHOL
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(read(spark, sf_dir, "documents", "doc_id", "text"), Stages(spark, "jaccard"))
+    return jaccard_classes(read(spark, sf_dir, "documents", "doc_id", "text"), Stages(spark, "jaccard")).select("doc_id", "class_id", "n_links")
 
 
 QUERIES = {"op2_jaccard_join": op2_jaccard_join}

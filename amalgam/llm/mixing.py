@@ -86,15 +86,24 @@ def unit_interval(seed: str, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, stages: Stages, fraction: float = 0.6, exponent: float = 0.5, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
-    """docs (doc_id, source, lang, topic, n_tokens) with weight (the cell's factor), probability, sampled."""
-    docs = docs.select("doc_id", *[F.coalesce(d, F.lit("")).alias(d) for d in DIMENSIONS], "n_tokens")
-    cells = stages.put(docs.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "counts")
+def probabilities(docs: DataFrame, stages: Stages, fraction: float = 0.6, exponent: float = 0.5, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """docs (dimensions, n_tokens) to one row a cell that has tokens: its factor f and probability p."""
+    cells = stages.put(keyed(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "counts")
     fixed = targets or {d: stages.put(_targets(cells, d, exponent), f"target-{d}") for d in DIMENSIONS}
-    done = calibrate(rake(cells, fixed, stages, rounds), fraction, stages)
-    out = docs.join(done.select(*DIMENSIONS, "f", "p"), list(DIMENSIONS), "left")
-    out = out.withColumn("f", F.coalesce("f", F.lit(1.0))).withColumn("p", F.coalesce("p", F.lit(1.0)))
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.round("f", 6).alias("weight"), F.round("p", 6).alias("probability"), (unit_interval(seed, F.col("doc_id")) < F.col("p")).alias("sampled"))
+    return stages.put(calibrate(rake(cells, fixed, stages, rounds), fraction, stages).select(*DIMENSIONS, "f", "p"), "probabilities")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({d: F.coalesce(d, F.lit("")) for d in DIMENSIONS})
+
+
+def mix(docs: DataFrame, cells: DataFrame, seed: str = "mix") -> DataFrame:
+    """docs (doc_id, dimensions, ...) with weight (the cell's factor), probability and sampled.
+
+    There are as many cells as values occur together; Spark broadcasts them while they are small.
+    """
+    out = keyed(docs).join(cells, list(DIMENSIONS), "left").withColumns({"f": F.coalesce("f", F.lit(1.0)), "p": F.coalesce("p", F.lit(1.0))})
+    return out.withColumns({"weight": F.round("f", 6), "probability": F.round("p", 6), "sampled": unit_interval(seed, F.col("doc_id")) < F.col("p")}).drop("f", "p")
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -105,7 +114,7 @@ def described(docs: DataFrame) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = Stages(spark, "mixing")
     docs = stages.put(described(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")), "described")
-    return mix(docs, stages)
+    return mix(docs, probabilities(docs, stages)).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
 
 
 def _sql() -> str:

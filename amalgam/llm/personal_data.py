@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,34 +282,37 @@ def join_spans(spans: list[tuple[str, int, int]]) -> str:
 def found(docs: DataFrame, field: Field) -> DataFrame:
     """docs (doc_id, text) to the counts and digests of the spans in each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((field.names, field.unary, field.chain, field.skip))
+    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
-        for f in frames:
+        for batch in batches:
             rows = []
-            for text in f["text"]:
+            for text in batch.column("text"):
+                text = text.as_py()
                 base = base_spans(text)
                 n = Counter(k for k, _, _ in base)
                 rows.append((*[n[k] for k in KINDS], hashlib.sha256(join_spans(base).encode()).hexdigest(), join_spans(own.spans(text))))
-            out = pd.DataFrame(rows, columns=[*[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
-            out.insert(0, "doc_id", f["doc_id"].to_numpy())
-            yield out
+            columns = list(zip(*rows)) if rows else [()] * (len(names) - 1)
+            kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, type=t) for c, t in zip(columns, kinds)]], names=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, field: Field) -> DataFrame:
     """docs with every span of `text` replaced by its kind in angle brackets; n_chars follows if it is there."""
     shared = docs.sparkSession.sparkContext.broadcast((field.names, field.unary, field.chain, field.skip))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*shared.value)
-        for f in frames:
-            f = f.copy()
-            f["text"] = [redact(t, own.spans(t)) if t is not None else None for t in f["text"]]
-            yield f
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("text")]
+            clean = pa.array([None if t is None else redact(t, own.spans(t)) for t in texts], type=pa.string())
+            arrays = [clean if c == "text" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    out = docs.mapInPandas(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

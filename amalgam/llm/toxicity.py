@@ -21,8 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from amalgam.llm.common import Stages, read
 
@@ -42,6 +44,7 @@ THREATS = frozenset("kill murder hurt stab shoot hang destroy strangle töten um
 INSULT_SEEDS = frozenset("idiot moron imbecile scumbag".split())
 
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
+_OUT = [*[f"_{k}" for k in KINDS], "_score"]
 #: Prior mean of each weight, the bias first: what the grammar says before any label is seen.
 PRIOR = np.array([-4.0, 2.0, 2.5, 0.8, 0.8, 2.0])
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n\"“”«»]")
@@ -195,26 +198,28 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = SAMP
     grammar = Grammar(lexicon, PRIOR.copy())
     if n_bad and n_good:
         seen = _emissions(texts, ["toxic"], grammar).toPandas()  # at most `sample` rows of a few numbers
-        grammar.weights = fit(seen[list(KINDS)].to_numpy(), seen["toxic"].to_numpy(float))
+        grammar.weights = fit(seen[_OUT[:-1]].to_numpy(), seen["toxic"].to_numpy(float))
     return grammar
 
 
 def _emissions(docs: DataFrame, keep: list[str], grammar: Grammar) -> DataFrame:
+    """`keep`, untouched, then the emitted weights by kind and the score of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.weights))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = Grammar(*shared.value)
-        for f in frames:
-            out = np.array([g.emitted(t) for t in f["text"]]).reshape(-1, len(KINDS))
-            yield pd.concat([f[keep].reset_index(drop=True), pd.DataFrame(out, columns=list(KINDS))], axis=1).assign(score=g.score(out))
+        for batch in batches:
+            out = np.array([g.emitted(t.as_py()) for t in batch.column("text")]).reshape(-1, len(KINDS))
+            arrays = [batch.column(c) for c in keep] + [pa.array(out[:, i]) for i in range(len(KINDS))] + [pa.array(g.score(out))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *_OUT])
 
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.select(*keep).schema)
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInPandas(run, f"{schema}, {', '.join(k + ' double' for k in KINDS)}, score double")
+    schema = StructType([*docs.select(*keep).schema.fields, *[StructField(c, DoubleType()) for c in _OUT]])
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
     """docs (text and `keep`) to `keep` plus score, from the text alone."""
-    return _emissions(docs, keep, grammar).drop(*KINDS)
+    return _emissions(docs, keep, grammar).select(*keep, F.col(_OUT[-1]).alias("score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
