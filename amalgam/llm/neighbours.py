@@ -35,9 +35,10 @@ ROUNDS = 12
 SETTLED = 0.003
 BLOCK = 2_048
 SAMPLE = 20_000
-HOPS = 2
-EXPAND = 24
-POOL = 64
+HOPS = 3
+EXPAND = 40
+POOL = 128
+REVERSE = 64
 _PLACE = 1 << 20
 _ROWS = "block long, kind int, payload binary, moved long"
 _STATE, _MESSAGE, _LISTS = 0, 1, 2
@@ -131,6 +132,13 @@ def best_each(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int, first: np.nda
     return order[np.arange(len(order)) - start < k]
 
 
+def _among(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) are among the pairs (c, d)."""
+    known, both = np.unique(np.concatenate([b, d]), return_inverse=True)
+    key = np.concatenate([a, c]) * max(1, len(known)) + both
+    return np.isin(key[: len(a)], key[len(a) :])
+
+
 def _tabled(n: int, k: int, a, b, s, old) -> dict[str, np.ndarray]:
     """Rows (a, b, s) sorted by a to matrices of n x k; `old` marks edges that were there before."""
     place = np.arange(len(a)) - np.searchsorted(a, a)
@@ -288,7 +296,22 @@ def build(nodes: DataFrame, stages: Stages, dim: int, longest: float, degree: in
         moved = now.agg(F.sum("moved")).first()[0] or 0
         if moved <= SETTLED * total * degree:
             break
-    return now
+    return stages.put(_step(now.unionByName(_step(now, _reverse)), _undirected), "undirected")
+
+
+def _undirected(block: int, by: dict) -> list:
+    """The state with `both`: a node's neighbours and up to REVERSE nodes that have it as theirs."""
+    if not by[_STATE]:
+        return []
+    state = by[_STATE][0]
+    a = np.concatenate([np.zeros(0, np.int64), *[m[0] for m in by[_MESSAGE]]])
+    b = np.concatenate([np.zeros(0, np.int64), *[m[1] for m in by[_MESSAGE]]])
+    own = np.flatnonzero((state["ids"] >= 0).ravel())
+    mutual = _among(a, b, own // state["ids"].shape[1], state["ids"].ravel()[own])
+    a, b = a[~mutual], b[~mutual]
+    pick = best_each(a, b, np.zeros(len(a)), REVERSE)
+    back = _tabled(len(state["x"]), REVERSE, a[pick], b[pick], np.zeros(len(pick)), np.zeros(len(pick), bool))["ids"]
+    return [_row(block, _STATE, {**state, "both": np.hstack([state["ids"], back])})]
 
 
 def _asked(block: int, by: dict) -> list:
@@ -297,7 +320,7 @@ def _asked(block: int, by: dict) -> list:
     on = np.flatnonzero(state["asked"])
     if not len(on):
         return []
-    ids = np.column_stack([block * _PLACE + on, state["ids"][on]])
+    ids = np.column_stack([block * _PLACE + on, state["both"][on]])
     pool = {"at": on, "q": state["raw"][on], "ids": ids, "scores": np.full(ids.shape, np.nan), "nodes": np.full(ids.shape, -1, np.int64), "done": np.zeros(ids.shape, bool), "hop": 0}
     wanted = np.unique(ids[ids >= 0])
     return [_row(block, _LISTS, pool)] + [_row(owner, _MESSAGE, (block, wanted[p])) for owner, p in _by_block(wanted)]
@@ -347,7 +370,7 @@ def _adjacent(block: int, by: dict) -> list:
     if not by[_STATE]:
         return []
     state = by[_STATE][0]
-    return [_row(asker, _MESSAGE, (ids, state["ids"][ids % _PLACE])) for asker, ids in by[_MESSAGE]]
+    return [_row(asker, _MESSAGE, (ids, state["both"][ids % _PLACE])) for asker, ids in by[_MESSAGE]]
 
 
 def _widened(block: int, by: dict) -> list:
