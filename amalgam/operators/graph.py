@@ -3,42 +3,52 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; a folder of our own only in local mode."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="amalgam-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, else (local mode only) one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="amalgam-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: it cuts lineage, and unlike checkpoint()
+    the estimates of the plan's size too, which otherwise multiply with each round's joins."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/amalgam/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, limit: int = 60) -> DataFrame:
     """edges (idx_a, idx_b) to (row_id, cluster_id): the least row of the component.
 
-    Each round takes the least label among neighbours, then the label's own label; the driver only sees
-    whether a label has changed. Vertices without an edge are clusters of their own.
+    Each round takes the least label among neighbours, hooks a label's own row to the least label that
+    any row with it has seen, and jumps to the label's label; rounds go with the logarithm of a component.
+    The driver only sees whether a label has changed. Vertices without an edge are clusters of their own.
     """
     both = edges.select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b"))
-    both = checkpointed(both.union(both.select("b", "a")).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")))
+    both = staged(both.union(both.select("b", "a")).where("a <> b").distinct())
+    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("c"))
     for _ in range(limit):
         near = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        least = labels.join(near, "a").select("a", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        up = labels.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        after = checkpointed(least.join(up, "c").select("a", "was", F.least("c", "cc").alias("c")))
-        settled = after.where("c <> was").isEmpty()
-        labels = after.select("a", "c")
-        if settled:
+        seen = labels.join(near, "a")
+        hook = seen.groupBy(F.col("c").alias("a")).agg(F.min("m").alias("h"))
+        least = staged(seen.join(hook, "a", "left").select("a", F.col("c").alias("was"), F.least("c", "m", F.coalesce("h", "c")).alias("c")))
+        if least.where("c <> was").isEmpty():
+            labels = least.select("a", "c")
             break
+        up = least.select(F.col("a").alias("c"), F.col("c").alias("cc"))
+        labels = staged(least.join(up, "c").select("a", F.least("c", "cc").alias("c")))
     else:
         raise RuntimeError(f"components did not settle within {limit} rounds")
     out = labels.select(F.col("a").alias("row_id"), F.col("c").alias("cluster_id"))

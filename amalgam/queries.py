@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from amalgam.functions import cleanse
 from amalgam.functions.text import norm, pytitle, title_case
 from amalgam.operators import evidence, golden, match, profile, semantics, vectors
-from amalgam.operators.graph import connected_components, largest_component
+from amalgam.operators.graph import connected_components, largest_component, shared_dir
 from amalgam.plans import export, rules
 from amalgam.plans.rules import Rule, RuleSet
 from amalgam.sources import io
@@ -98,10 +98,7 @@ def source_round_trip(spark, sf):
     """CSV and JSON written to the shared folder and loaded again."""
     import uuid
 
-    from amalgam.operators.graph import checkpointed
-
-    checkpointed(spark.range(1))
-    folder = f"{spark.sparkContext.getCheckpointDir()}/round-trip-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}"
     nation = table(spark, sf, "nation")
     io.write_csv(nation, f"{folder}/n.csv")
     nation.write.json(f"{folder}/n.json")
