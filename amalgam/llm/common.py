@@ -10,9 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word contracts (space, tab, line feed, vertical tab, form feed, return).
@@ -74,10 +73,6 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def utf8_crc32(text: str | None) -> int:
-    return zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
-
-
 def numbered(df: DataFrame, stages: Stages, groups: list[str], uid: str, out: str, block: int = 50_000) -> DataFrame:
     """Add `out`: gapless from 0 within each group, without bringing a group into one task.
 
@@ -85,12 +80,10 @@ def numbered(df: DataFrame, stages: Stages, groups: list[str], uid: str, out: st
     n / block blocks; rows are numbered inside a block, and blocks are offset by what stands before.
     """
     sizes = df.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks"))
-    cut = df.join(F.broadcast(sizes) if not groups else sizes, [df[g].eqNullSafe(sizes[g]) for g in groups])
+    cut = df.join(sizes, [df[g].eqNullSafe(sizes[g]) for g in groups])
     for g in groups:
         cut = cut.drop(sizes[g])
     cut = cut.withColumn("_block", F.pmod(F.xxhash64(uid), F.col("_blocks"))).drop("_blocks")
-    from pyspark.sql import Window
-
     inner = Window.partitionBy(*groups, "_block").orderBy(uid)
     cut = stages.put(cut.withColumn("_in", F.row_number().over(inner) - 1), "numbered")
     counts = cut.groupBy(*groups, "_block").agg(F.count(F.lit(1)).alias("_n"))
@@ -106,20 +99,22 @@ def numbered(df: DataFrame, stages: Stages, groups: list[str], uid: str, out: st
 def components(edges: DataFrame, stages: Stages, limit: int = 60) -> DataFrame:
     """(v, c) for every vertex of `edges` (a, b longs): c is the least vertex of its component.
 
-    Each round takes the least label among neighbours and then the label's own label (pointer
-    jumping); rounds stop when nothing changes. Labels are pre-aggregated before each shuffle.
+    Each round a vertex takes the least label among its neighbours, its label's own vertex takes the least
+    that any vertex with that label has seen, and labels are replaced by their labels' labels; rounds, in
+    number about the logarithm of a component, stop when nothing changes. Minima combine before each shuffle.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stages.put(both.where("a <> b").distinct(), "edges")
     labels = stages.put(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("v"), "c"), "labels")
     for _ in range(limit):
-        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        least = labels.join(near, labels.v == near.a).select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        up = labels.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        jumped = least.join(up, "c", "left").select("v", "old", F.least("c", F.coalesce("cc", "c")).alias("c"))
-        done = stages.put(jumped, "labels")
+        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "v")
+        seen = stages.put(labels.join(near, "v"), "seen")
+        hook = seen.groupBy(F.col("c").alias("v")).agg(F.min("m").alias("h"))
+        least = stages.put(seen.join(hook, "v", "left").select("v", F.col("c").alias("old"), F.least("c", "m", F.coalesce("h", "c")).alias("c")), "least")
+        up = least.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+        done = stages.put(least.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")), "labels")
         moved = done.where("c <> old").limit(1).count()
-        stages.drop(labels)
+        stages.drop(labels, seen, least)
         path = done.amalgam_path
         labels = done.select("v", "c")
         labels.amalgam_path = path
@@ -127,7 +122,3 @@ def components(edges: DataFrame, stages: Stages, limit: int = 60) -> DataFrame:
             stages.drop(both)
             return labels
     raise RuntimeError(f"components did not settle within {limit} rounds")
-
-
-def hex_lower_sha256(column: Column) -> Column:
-    return F.sha2(column.cast("binary"), 256)

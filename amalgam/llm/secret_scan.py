@@ -33,7 +33,7 @@ MORE = {
     "bearer": "((?i:bearer)\\x20+)([A-Za-z0-9+/_.=-]{16,})",
     "jwt": "()(eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,})",
     "forge": "()(gh[opsu]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})",
-    "url": "([a-z][a-z0-9+]{1,9}://[^\\s:/@]{1,64}:)([^\\s:/@]{6,64})(?=@)",
+    "url": "([a-z][a-z0-9+]{1,9}://[^\\s:/@]{1,64}:)([^\\s:/@]{6,64}@)",
 }
 KINDS = [*BASE, *MORE]
 OWNERS_COPIED = 3
@@ -134,5 +134,29 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(found, stages).select("doc_id", *counts, F.sha2(join_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), join_spans(F.col("found")).alias("spans"), "n_copied", "n_live", "n_shared")
 
 
+def _sql() -> str:
+    """The same in DuckDB: match by marks, positions by summed lengths, owners by hash."""
+    kinds = []
+    for i, kind in enumerate(KINDS):
+        pattern = _at_least(kind).replace("'", "''")
+        kinds.append(
+            f"SELECT doc_id, source, {i} AS rank, '{kind}' AS kind, coalesce(list_sum(list_transform(range(1, k), lambda j: length(parts[j]) - (j % 2 = 0)::INT)), 0)::BIGINT AS start, length(parts[k]) - 1 AS n, regexp_extract(parts[k], '(?s)\\x02(.*)$', 1) AS secret "
+            f"FROM (SELECT doc_id, source, parts, unnest(range(2, len(parts) + 1, 2)) AS k FROM (SELECT doc_id, source, string_split_regex(regexp_replace(text, '{pattern}', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), '[\\x01\\x03]') AS parts FROM clean))"
+        )
+    least = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in LEAST.items()) + " ELSE 1 END"
+    base = ", ".join(f"'{k}'" for k in BASE)
+    one = "kind || ':' || start || ':' || start + n"
+    return f"""
+WITH clean AS (SELECT doc_id, coalesce(source, '') AS source, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), chr(4) || chr(4) || chr(4)) AS text FROM documents),
+s AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(kinds)}) WHERE length(secret) >= {least}),
+o AS (SELECT secret, count(DISTINCT source) AS owners FROM s GROUP BY secret),
+v AS (SELECT DISTINCT doc_id, secret, CASE WHEN owners >= {OWNERS_COPIED} THEN 'copied' WHEN owners = 1 AND length(secret) >= 12 AND len(list_distinct(string_split(secret, ''))) >= 6 AND regexp_matches(secret, '[0-9]') THEN 'live' ELSE 'shared' END AS verdict FROM s JOIN o USING (secret)),
+c AS (SELECT doc_id, count(*) FILTER (verdict = 'copied') AS n_copied, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'shared') AS n_shared FROM v GROUP BY doc_id),
+d AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, coalesce(string_agg({one}, ',' ORDER BY start, rank) FILTER (kind IN ({base})), '') AS base, string_agg({one}, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
+SELECT x.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
+FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id LEFT JOIN c ON c.doc_id = x.doc_id
+"""
+
+
 QUERIES = {"op8_secrets": op8_secrets}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_secrets": _sql()}
