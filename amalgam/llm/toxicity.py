@@ -46,7 +46,7 @@ INSULT_SEEDS = frozenset("idiot moron imbecile scumbag".split())
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
 _OUT = [*[f"_{k}" for k in KINDS], "_score"]
 #: Prior mean of each weight, the bias first: what the grammar says before any label is seen.
-PRIOR = np.array([-4.0, 2.0, 2.5, 0.8, 0.8, 2.0])
+PRIOR = np.array([-2.5, 2.0, 2.5, 0.8, 0.8, 2.0])
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n\"“”«»]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _ENDS = frozenset(".!?;:\n")
