@@ -217,9 +217,9 @@ def _emissions(docs: DataFrame, keep: list[str], grammar: Grammar) -> DataFrame:
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
-def scored(docs: DataFrame, grammar: Grammar, keep: list[str]) -> DataFrame:
-    """docs (text and `keep`) to `keep` plus score, from the text alone."""
-    return _emissions(docs, keep, grammar).select(*keep, F.col(_OUT[-1]).alias("score"))
+def scored(docs: DataFrame, grammar: Grammar, keep: list[str], name: str = "score") -> DataFrame:
+    """docs (text and `keep`) to `keep` plus the score under `name`, from the text alone."""
+    return _emissions(docs, keep, grammar).select(*keep, F.col(_OUT[-1]).alias(name))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

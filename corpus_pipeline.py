@@ -16,7 +16,7 @@ from amalgam.llm.common import Stages, read
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar scores under one half; null and blank texts stay."""
     grammar = toxicity.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"), Stages(spark, "pipeline-toxicity"))
-    return toxicity.scored(docs, grammar, docs.columns).where("score < 0.5").drop("score")
+    return toxicity.scored(docs, grammar, docs.columns, "_toxic").where("_toxic < 0.5").drop("_toxic")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,9 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the calibrated probabilities sample (DataFrame functions only)."""
     stages = Stages(spark, "pipeline-mixing")
-    cells = mixing.probabilities(stages.put(mixing.described(docs), "described"), stages).withColumnsRenamed({"source": "_source", "lang": "_lang", "topic": "_topic"})
+    cells = mixing.probabilities(stages.put(mixing.described(docs), "described"), stages).withColumnsRenamed({"source": "_source", "lang": "_lang", "topic": "_topic", "f": "_f", "p": "_p"})
     keyed = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": mixing.topic_of(F.col("text"))})
-    chance = F.coalesce(F.col("p"), F.lit(1.0))
+    chance = F.coalesce(F.col("_p"), F.lit(1.0))
     return keyed.join(cells, ["_source", "_lang", "_topic"], "left").where(mixing.unit_interval("mix", F.col("doc_id")) < chance).select(*docs.columns)
 
 
