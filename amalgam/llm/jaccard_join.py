@@ -34,7 +34,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.99999
 TRIALS = 128
-BUCKET = 500
+BUCKET = 2_000
 DEPTH = 10
 #: Estimates from minima err by about 0.035 at the threshold; this lies more than five such errors below.
 CANDIDATE = 0.6

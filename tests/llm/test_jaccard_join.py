@@ -62,7 +62,7 @@ def test_odd_rows_and_none(spark, odd_documents, no_documents):
     assert jaccard_join.op2_jaccard_join(spark, no_documents).count() == 0
 
 
-@pytest.mark.parametrize(("bucket", "block"), [(500, 1500), (8, 20)])
+@pytest.mark.parametrize(("bucket", "block"), [(2000, 1500), (8, 20)])
 def test_one_large_group_of_near_copies(spark, bucket, block):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(150)]
