@@ -12,7 +12,7 @@ with no tokens at all keeps every document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amalgam.llm.common import Stages, read
@@ -50,34 +50,40 @@ def _targets(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], stages: Stages, rounds: int = ROUNDS) -> DataFrame:
-    """Cells (dimensions, tokens) with `w`: shares whose marginals meet `targets` (value, target)."""
+    """Cells (dimensions, tokens) with `w`: shares whose marginals meet `targets` (value, target).
+
+    Targets join the cells once; each rake is then one window sum over counted cells, so all rounds are
+    one plan that is as long as there are rakes.
+    """
     total = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    now = cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("all")).drop("all")
-    now = stages.put(now.where("tokens > 0"), "cells")
-    for _ in range(rounds):
-        step = now
+    now = cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("all")).drop("all").where("tokens > 0")
+    for d in targets:
+        now = now.join(targets[d].withColumnRenamed("target", f"target_{d}"), d)
+    now = stages.put(now, "cells")
+    for i in range(rounds):
         for d in targets:
-            sums = step.groupBy(d).agg(F.sum("w").alias("sum_w")).join(targets[d], d)
-            step = step.join(sums, d).withColumn("w", F.when(F.col("sum_w") > 0, F.col("w") * F.col("target") / F.col("sum_w")).otherwise(F.lit(0.0))).drop("sum_w", "target")
-        after = stages.put(step, "cells")
-        stages.drop(now)
-        now = after
-    return now
+            sums = F.sum("w").over(Window.partitionBy(d))
+            now = now.withColumn("s", sums).withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"target_{d}") / F.col("s")).otherwise(F.lit(0.0))).drop("s")
+        if i % 5 == 4:
+            now = stages.put(now, "cells")
+    return now.drop(*[f"target_{d}" for d in targets])
 
 
 def calibrate(cells: DataFrame, fraction: float, stages: Stages, steps: int = CALIBRATIONS) -> DataFrame:
-    """Raked cells with factor f and probability p = min(1, s * f); the expected tokens are the budget."""
+    """Raked cells with factor f and probability p = min(1, s * f); the expected tokens are the budget.
+
+    Each step sums the cells that are full and those that are not; only those two numbers reach the driver.
+    """
     shares = cells.crossJoin(F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("all")))).withColumn("f", F.col("w") * F.col("all") / F.col("tokens"))
-    now = shares.withColumn("p", F.least(F.lit(1.0), F.lit(fraction) * F.col("f")))
-    for i in range(steps):
-        short = now.agg(
-            F.coalesce(F.sum(F.when(F.col("p") >= 1, F.col("tokens"))), F.lit(0)).alias("full"),
-            F.coalesce(F.sum(F.when(F.col("p") < 1, F.col("p") * F.col("tokens"))), F.lit(0.0)).alias("open"),
-        )
-        now = now.crossJoin(F.broadcast(short)).withColumn("p", F.when(F.col("p") >= 1, F.lit(1.0)).when(F.col("open") <= 0, F.col("p")).otherwise(F.least(F.lit(1.0), F.col("p") * F.greatest(F.lit(1.0), (F.lit(fraction) * F.col("all") - F.col("full")) / F.col("open"))))).drop("full", "open")
-        if i % 4 == 3:
-            now = stages.put(now, "calibrated")
-    return now
+    shares = stages.put(shares, "shares")
+    scale = fraction
+    for _ in range(steps):
+        p = F.least(F.lit(1.0), F.lit(scale) * F.col("f"))
+        full, free, total = shares.agg(F.coalesce(F.sum(F.when(p >= 1, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(p < 1, p * F.col("tokens"))), F.lit(0.0)), F.coalesce(F.max("all"), F.lit(0.0))).first()
+        if free <= 0 or (fraction * total - full) / free <= 1:
+            break
+        scale *= (fraction * total - full) / free
+    return shares.withColumn("p", F.least(F.lit(1.0), F.lit(scale) * F.col("f")))
 
 
 def unit_interval(seed: str, *columns: Column) -> Column:
