@@ -80,10 +80,11 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             for doc, row, text in zip(f["doc"], f["row"], f["text"]):
                 s = shingles(text, hashes, k)
                 key = np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64) if len(s) else 0
-                rows.append((doc, row, key, len(s), minima(s).tobytes() if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc", "row", "key", "n", "minima"])
+                m = minima(s) if len(s) else None
+                rows.append((doc, row, key, len(s), None if m is None else m.tobytes(), None if m is None else (m & 255).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc", "row", "key", "n", "minima", "sketch"])
 
-    return docs.mapInPandas(run, "doc long, row long, key long, n long, minima binary")
+    return docs.mapInPandas(run, "doc long, row long, key long, n long, minima binary, sketch binary")
 
 
 def positions(path: int, threshold: float) -> list[int]:
@@ -150,38 +151,42 @@ def _roots(n: int, linked) -> np.ndarray:
 
 
 def _bucket_edges(rows: DataFrame) -> DataFrame:
-    """rows (path, key, minima) of small buckets to a spanning forest of what may be similar."""
+    """rows (path, key, sketch) of small buckets to a spanning forest of what may be similar.
+
+    A sketch holds the low byte of each minimum; a byte is equal by chance once in 256 times.
+    """
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("key")
         key = g["key"].to_numpy(np.int64)
-        m = np.frombuffer(b"".join(g["minima"]), dtype=np.uint8).reshape(len(g), TRIALS, 4)[:, :, 0]
+        m = np.frombuffer(b"".join(g["sketch"]), dtype=np.uint8).reshape(len(g), TRIALS)
         label = _roots(len(g), lambda i: np.flatnonzero(((m == m[i]).mean(axis=1) - 1 / 256) * 256 / 255 >= CANDIDATE))
         on = label != np.arange(len(g))
         return pd.DataFrame({"a": key[on], "b": key[label[on]]})
 
-    together = rows.select("path", "key", "minima").repartition("path").sortWithinPartitions("path", "key")
+    together = rows.select("path", "key", "sketch").repartition("path").sortWithinPartitions("path", "key")
     return together.mapInPandas(lambda frames: _grouped(frames, ["path"], work), "a long, b long")
 
 
 def candidates(sets: DataFrame, stages: Stages, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
-    """sets (key, minima) to edges (a, b) that connect all sets that may be similar."""
+    """sets (key, minima, sketch) to edges (a, b) that connect all sets that may be similar."""
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
     now = sets.select(F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])).alias("path"), "key", "minima")
+    active = sets.select("key", "minima", "sketch")  # sets that the current level can hold
     edges = []
     for depth in range(1, DEPTH + 1):
         level = stages.put(_children(now, threshold), f"paths{depth}")
-        counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        counts = stages.put(counts, f"counts{depth}")
-        with_minima = lambda some: level.join(some.select("path"), "path").join(sets.select("key", "minima"), "key")  # noqa: E731, B023
-        edges.append(stages.put(_bucket_edges(with_minima(counts.where(F.col("m") <= bucket))), f"edges{depth}"))
-        large = counts.where(F.col("m") > bucket)
+        counts = stages.put(level.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"counts{depth}")
+        small, large = counts.where(F.col("m") <= bucket).select("path"), counts.where(F.col("m") > bucket).select("path")
+        edges.append(stages.put(_bucket_edges(level.join(small, "path").join(active.select("key", "sketch"), "key")), f"edges{depth}"))
         if not large.limit(1).count():
             break
+        hubs = stages.put(level.join(large, "path"), f"large{depth}")
         if depth == DEPTH:  # equal at ten positions in turn: verified below like the rest
-            hubs = level.join(large.select("path"), "path")
             edges.append(hubs.join(hubs.groupBy("path").agg(F.min("key").alias("b")), "path").select(F.col("key").alias("a"), "b"))
-        now = with_minima(large)
+            break
+        active = stages.put(active.join(hubs.select("key").distinct(), "key"), f"active{depth}")
+        now = hubs.join(active.select("key", "minima"), "key")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -253,7 +258,7 @@ def jaccard_classes(docs: DataFrame, stages: Stages, threshold: float = THRESHOL
     """docs (doc_id, text) to row (see row_key), doc_id, class_id, n_links, and the row of the class that stays."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), row_key().alias("row"), "text")
     scanned = stages.put(_sets(keyed, k), "scanned")
-    sets = scanned.where("n > 0").groupBy("key").agg(F.min("doc").alias("owner"), F.min_by("row", F.struct("doc", "row")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("minima").alias("minima"))
+    sets = scanned.where("n > 0").groupBy("key").agg(F.min("doc").alias("owner"), F.min_by("row", F.struct("doc", "row")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"))
     sets = stages.put(sets, "sets")
     groups = components(candidates(sets, stages, threshold, recall, bucket), stages)
     members = groups.select(F.col("v").alias("key"), F.col("c").alias("grp")).join(sets.select("key", "row", "copies", "n"), "key")
