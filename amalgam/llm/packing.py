@@ -4,8 +4,9 @@ Only lengths matter to a packing and there are at most `capacity` of them, so th
 histogram of lengths: a bin pattern is a list of (length, copies) with a multiplicity, and best fit in
 order of falling length acts on whole patterns at once. That takes a number of patterns bounded by the
 capacity, whatever the number of documents. Local search then moves one document, or exchanges one for
-one or two for one, between underfull bins wherever that raises the sum of squared fills, until bins
-empty or nothing helps. Pieces are numbered within their length and look their place up in the plan.
+one or two for one, between underfull bins wherever that raises the sum of squared fills, until the
+lower bound is met or nothing helps; it too acts on all equal bins at once, and no number of tries bounds
+it. Pieces are numbered within their length and look their place up in the plan.
 
 Cases: a null text is empty and gives one piece that holds the end token alone; an empty table gives
 no pieces; repeated rows are packed each on their own.
@@ -14,6 +15,7 @@ no pieces; repeated rows are packed each on their own.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -104,68 +106,159 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Bin]:
     return done + [b for bins in open_by.values() for b in bins]
 
 
-def _moved(b: Bin, out: list[int], back: list[int]) -> Bin:
+def _moved(b: Bin, out: list[int], back: list[int]) -> dict[int, int]:
     items = Counter(b.items)
     items.subtract(out)
     items.update(back)
-    return Bin({n: k for n, k in items.items() if k}, 1)
-
-
-def _improvement(poor: Bin, rich: Bin, capacity: int) -> tuple[list[int], list[int]] | None:
-    """Documents to take from `poor` and to give back from `rich`, at the largest gain of squared fill."""
-    room, best, found = capacity - rich.fill, 0, None
-    mine = list(poor.items)
-    ones = [([n], n) for n in mine]
-    twos = [([a, b], a + b) for i, a in enumerate(mine) for b in mine[i:] if a != b or poor.items[a] > 1]
-    for out, size in [*ones, *twos]:
-        for back in [0, *rich.items]:
-            if len(out) == 2 and not back:
-                continue
-            net = size - back
-            if 0 < net <= room:
-                gain = (rich.fill + net) ** 2 + (poor.fill - net) ** 2 - rich.fill**2 - poor.fill**2
-                if gain > best:
-                    best, found = gain, (out, [back] if back else [])
-    return found
-
-
-def local_search(bins: list[Bin], capacity: int, counts: dict[int, int], patience: int = 20_000) -> list[Bin]:
-    """Exchange between underfull bins until the lower bound is met, nothing helps, or patience ends.
-
-    The emptiest bin gives to the others, fullest first; patience bounds the bin pairs tried, on the driver.
+    return {n: k for n, k in items.items() if k}
+
+
+class _Underfull:
+    """Distinct underfull patterns in the order they came up, and what each could give back in an exchange.
+
+    Entry i of the flat arrays: pattern `owner[i]` gives back length `back[i]` (0: nothing) and then takes up to `reach[i]`.
+    A pattern that runs out and comes up again is a new one, so a pair that failed once need not be tried again.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.n, self.size = capacity, 0, 0
+        self.bins: list[Bin] = []
+        self.alive: dict[tuple, int] = {}
+        self.order: list[tuple[int, int, int]] = []  # those alive by (scale of `many`, fill): most bins, then emptiest first
+        self.owner, self.back, self.reach = (np.zeros(1024, dtype=np.int64) for _ in range(3))
+        self.start, self.seen = [0], []
+        self.many, self.fill = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
+        self.outs: dict[int, tuple] = {}
+
+    def add(self, items: dict[int, int], many: int) -> None:
+        b = Bin(items, many)
+        i = self.alive.get(b.key())
+        if i is not None:
+            if self.many[i] == 1:  # a pattern with two bins or more can also exchange within itself
+                self.seen[i] = min(self.seen[i], i)
+            self._count(i, many)
+            return
+        i, m = self.n, len(items) + 1
+        while self.size + m > len(self.owner):
+            self.owner, self.back, self.reach = (np.concatenate([x, np.zeros_like(x)]) for x in (self.owner, self.back, self.reach))
+        if i == len(self.many):
+            self.many, self.fill = np.concatenate([self.many, np.zeros_like(self.many)]), np.concatenate([self.fill, np.zeros_like(self.fill)])
+        at = slice(self.size, self.size + m)
+        self.owner[at], self.back[at] = i, [0, *items]
+        self.reach[at] = self.back[at] + self.capacity - b.fill
+        self.fill[i] = b.fill
+        self.bins.append(Bin(b.items, 0))
+        self.seen.append(0)
+        self.alive[b.key()] = i
+        self.n, self.size = i + 1, self.size + m
+        self.start.append(self.size)
+        self.many[i] = 0
+        self._count(i, many)
+
+    def _count(self, i: int, more: int) -> None:
+        b = self.bins[i]
+        old, b.many = b.many, b.many + more
+        self.many[i] = b.many
+        if old.bit_length() != b.many.bit_length():
+            if old:
+                del self.order[bisect_left(self.order, (-old.bit_length(), b.fill, i))]
+            if b.many:
+                insort(self.order, (-b.many.bit_length(), b.fill, i))
+
+    def take(self, i: int, many: int) -> None:
+        self._count(i, -many)
+        if not self.bins[i].many:
+            del self.alive[self.bins[i].key()]
+            self.outs.pop(i, None)
+
+    def compact(self) -> None:
+        """Forget patterns that ran out, once they are most of all."""
+        if self.n < 1024 or 2 * len(self.alive) > self.n:
+            return
+        kept = sorted(self.alive.values())
+        old, before = self, np.concatenate([[0], np.cumsum(self.many[: self.n] > 0)])
+        fresh = _Underfull(self.capacity)
+        for i in kept:
+            fresh.add(old.bins[i].items, old.bins[i].many)
+        fresh.seen = [int(before[old.seen[i]]) for i in kept]
+        self.__dict__.update(fresh.__dict__)
+
+    def _gifts(self, p: int) -> tuple:
+        """Sorted sizes of one document, and of one or two, that pattern p can give; which ones the latter are."""
+        if p not in self.outs:
+            items = self.bins[p].items
+            ones = np.sort(np.array(list(items), dtype=np.int64))
+            i, j = np.triu_indices(len(ones))
+            pair = (i != j) | (np.array([items[n] for n in ones.tolist()])[i] > 1)
+            sizes = np.concatenate([(ones[i] + ones[j])[pair], ones])
+            first, second = np.concatenate([ones[i][pair], ones]), np.concatenate([ones[j][pair], np.zeros_like(ones)])
+            by = np.argsort(sizes, kind="stable")  # of equal sizes the single document is last, and found first
+            self.outs[p] = ones, sizes[by], first[by], second[by]
+        return self.outs[p]
+
+    def exchange(self, p: int) -> tuple[int, list[int], list[int]] | None:
+        """The pattern that gains most by p in all bins that both have, what p gives to it (as much as fits) and what it gives back."""
+        lo, hi = self.start[self.seen[p]], self.size
+        owner, back, reach = self.owner[lo:hi], self.back[lo:hi], self.reach[lo:hi]
+        ones, sizes, first, second = self._gifts(p)
+        at = np.searchsorted(sizes, reach, side="right") - 1
+        net = np.where(at >= 0, sizes[at], 0) - back
+        alone = np.flatnonzero(back == 0)  # two documents for none are two moves
+        one = np.searchsorted(ones, reach[alone], side="right") - 1
+        net[alone] = np.where(one >= 0, ones[one], 0)
+        good = (net > 0) & (self.many[owner] > (owner == p)) & (self.fill[owner] >= self.fill[p])
+        if not good.any():
+            self.seen[p] = self.n
+            return None
+        both = np.where(owner == p, self.many[p] // 2, np.minimum(self.many[owner], self.many[p])).astype(np.float64)
+        i = int(np.argmax(np.where(good, both * net * (self.fill[owner] - self.fill[p] + net), -1)))
+        if back[i] == 0:
+            return int(owner[i]), [int(net[i])], []
+        given = [int(first[at[i]]), int(second[at[i]])]
+        return int(owner[i]), [n for n in given if n], [int(back[i])]
+
+
+def local_search(bins: list[Bin], capacity: int, counts: dict[int, int], patience: int | None = None) -> list[Bin]:
+    """Exchange between underfull bins until the lower bound is met or nothing helps.
+
+    Patterns of many bins come first, of those the emptiest; each gives to the others and to its own like, where it
+    gains most, in as many bins at once as both have.
+    Any net gift from a bin to one at least as full raises the sum of squared fills, so the search ends by itself;
+    `patience` can bound the exchanges, and without it there is no bound.
     """
     least = -(-sum(n * k for n, k in counts.items()) // capacity)
     full = [b for b in bins if b.fill == capacity]
-    under = [b for b in bins if b.fill < capacity]
-    while under and sum(b.many for b in full) + sum(b.many for b in under) > least and patience > 0:
-        under.sort(key=lambda b: -b.fill)
-        helped = False
-        for p in range(len(under) - 1, 0, -1):
-            poor = under[p]
-            for r in range(p):
-                rich = under[r]
-                patience -= 1
-                if patience <= 0:
+    total = sum(b.many for b in bins)
+    under = _Underfull(capacity)
+    for b in bins:
+        if b.fill < capacity:
+            under.add(b.items, b.many)
+    while total > least and (patience is None or patience > 0):
+        change = None
+        for _, _, p in under.order:
+            if under.seen[p] < under.n:
+                change = under.exchange(p)
+                if change:
                     break
-                change = _improvement(poor, rich, capacity)
-                if change is None:
-                    continue
-                out, back = change
-                fresh = [_moved(poor, out, back), _moved(rich, back, out)]
-                rest = [Bin(dict(b.items), b.many - 1) for b in (poor, rich) if b.many > 1]
-                under = [b for i, b in enumerate(under) if i not in (p, r)] + rest
-                for b in fresh:
-                    if b.fill == capacity:
-                        full.append(b)
-                    elif b.fill:
-                        under.append(b)
-                helped = True
-                break
-            if helped or patience <= 0:
-                break
-        if not helped:
+        if not change:
             break
-    return full + under
+        r, out, back = change
+        poor, rich = under.bins[p], under.bins[r]
+        many = poor.many // 2 if p == r else min(poor.many, rich.many)
+        fresh = _moved(poor, out, back), _moved(rich, back, out)
+        under.take(p, many)
+        under.take(r, many)
+        for items in fresh:
+            if not items:
+                total -= many
+            elif sum(n * k for n, k in items.items()) == capacity:
+                full.append(Bin(items, many))
+            else:
+                under.add(items, many)
+        under.compact()
+        if patience is not None:
+            patience -= 1
+    return full + [under.bins[i] for _, _, i in under.order]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:

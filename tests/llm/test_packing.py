@@ -68,3 +68,31 @@ def test_local_search_beats_best_fit():
 def test_exchange_empties_a_bin():
     bins = [packing.Bin({6: 1, 3: 1}, 1), packing.Bin({7: 1, 2: 1}, 1), packing.Bin({2: 1}, 1)]
     assert sum(b.many for b in packing.local_search(bins, 10, {6: 1, 3: 1, 7: 1, 2: 2}, 1000)) == 2
+
+
+def test_exchange_acts_on_all_equal_bins():
+    # best fit fills 60,000 bins with 1638 twice and 40,000 with 1228 three times
+    counts = {1638: 120_000, 1228: 120_000}
+    first = packing.best_fit(counts, 4096)
+    assert sum(b.many for b in first) == 100_000
+    bins = packing.local_search(first, 4096, counts)
+    assert sum(b.many for b in bins) == 90_000
+    assert all(sum(b.items.get(n, 0) * b.many for b in bins) == k for n, k in counts.items())
+
+
+def test_search_ends_only_when_nothing_helps():
+    rng = random.Random(6)
+    for _ in range(60):
+        counts = {n: rng.randint(1, 40) for n in rng.sample(range(9, 60), rng.randint(1, 8))}
+        bins = packing.local_search(packing.best_fit(counts, 60), 60, counts)
+        if sum(b.many for b in bins) == -(-sum(n * k for n, k in counts.items()) // 60):
+            continue
+        each = [b for b in bins for _ in range(min(b.many, 2)) if b.fill < 60]
+        for i, poor in enumerate(each):
+            docs = [n for n, k in poor.items.items() for _ in range(k)]
+            twos = {docs[x] + docs[y] for x in range(len(docs)) for y in range(x)}
+            for j, rich in enumerate(each):
+                if i == j or rich.fill < poor.fill:
+                    continue
+                nets = {n - back for n in docs for back in (0, *rich.items)} | {t - back for t in twos for back in rich.items}
+                assert not any(0 < n <= 60 - rich.fill for n in nets), (poor.items, rich.items)
