@@ -129,12 +129,13 @@ def tokens(text: str, limit: int | None = None) -> list[Token]:
 
 
 def _edges(ts: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between direct neighbours; skip edges from each token to the next one of its key."""
+    """Chain edges between direct neighbours; skip edges from each token to the next one of its key, unless a chain edge joins them."""
     chain = [(i, i + 1) for i in range(len(ts) - 1) if ts[i + 1].token_start - ts[i].token_end == 1]
+    chained = set(chain)
     last: dict[str, int] = {}
     skip = []
     for i, t in enumerate(ts):
-        if t.key in last and last[t.key] + 1 < i + (not chain):
+        if t.key in last and (last[t.key], i) not in chained:
             skip.append((last[t.key], i))
         last[t.key] = i
     return chain, skip

@@ -99,5 +99,14 @@ def test_skip_edges_agree(field):
     assert field.beliefs(many).shape == (3000, 5)
 
 
+def test_skip_edges_beside_a_chain_elsewhere():
+    """A chain edge in one place takes no skip edge away in another; it stands for the skip edge of its own pair only."""
+    far = " plain words" * 250
+    chain, skip = P._edges(P.tokens(f"5 10 then 555-9999{far} 555-9999{far} 555-9999"))
+    assert chain == [(0, 1)] and skip == [(2, 3), (3, 4)]
+    chain, skip = P._edges(P.tokens("555-9999 555-9999 and 555-9999"))
+    assert chain == [(0, 1)] and skip == [(1, 2)]
+
+
 def test_redaction():
     assert P.redact("a b@c.de f 1.2.3.4", [("email", 2, 8), ("ip", 11, 18)]) == "a <EMAIL> f <IP>"
