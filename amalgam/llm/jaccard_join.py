@@ -5,7 +5,8 @@ with a number of copies. A set is known by its minima under TRIALS hash function
 the path tree picks a few of these positions (1 / threshold on average) and sends each set to the child
 that its minimum there names, so two sets go together with a chance equal to their similarity; buckets up
 to BUCKET sets are compared all against all by their minima, larger ones are split again, and runs repeat
-until a pair at the threshold is missed with a chance of at most 1 - RECALL. What may be similar is joined
+until a pair at the threshold is missed with a chance of at most 1 - RECALL. Each split can lose a pair, so
+the sets of split buckets get the runs that the deepest level asks for. What may be similar is joined
 to connected groups, each set is sent to its one group, and there all pairs are verified on whole sets.
 Only counts and a spanning forest leave a group, so a group of n near copies gives rows in proportion to n.
 A group too large for a task is cut into blocks, and all pairs of blocks are verified.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -168,29 +170,76 @@ def _bucket_edges(rows: DataFrame) -> DataFrame:
     return together.mapInPandas(lambda frames: _grouped(frames, ["path"], work), "a long, b long")
 
 
-def candidates(sets: DataFrame, stages: Stages, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
-    """sets (key, minima, sketch) to edges (a, b) that connect all sets that may be similar."""
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
-    now = sets.select(F.explode(F.array(*[F.lit(r).cast("long") for r in range(runs)])).alias("path"), "key", "minima")
-    active = sets.select("key", "minima", "sketch")  # sets that the current level can hold
-    edges = []
+def survival(similar: float, threshold: float, depth: int) -> float:
+    """The chance that a pair agreeing in this share of positions is still together in a run at this depth.
+
+    All pairs share the few roots, so these count with the fewest positions that a node can pick, not the mean.
+    """
+    mean, p = 1 / threshold, 1.0
+    for level in range(depth, 0, -1):
+        apart = 1 - similar * p
+        p = 1 - apart ** int(mean) * (1 - (mean % 1 if level > 1 else 0) * (1 - apart))
+    return p
+
+
+def runs_needed(threshold: float, recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold is missed with a chance of at most (1 - recall) / 2 though buckets reach
+    this depth; the mean over how many of the TRIALS positions agree, because all runs draw from the same ones."""
+    agree = np.arange(TRIALS + 1)
+    log_n = np.array([math.lgamma(i + 1) for i in range(TRIALS + 1)])
+    weight = np.exp(log_n[-1] - log_n - log_n[::-1] + agree * math.log(threshold) + (TRIALS - agree) * math.log(1 - threshold)) if threshold < 1 else (agree == TRIALS).astype(float)
+    lost = np.array([1 - survival(i / TRIALS, threshold, depth) for i in agree])
+    n = 1
+    while (weight * lost**n).sum() > (1 - recall) / 2:
+        n += 1
+    return n
+
+
+def _run(sets: DataFrame, runs: range, stages: Stages, threshold: float, bucket: int) -> tuple[list[DataFrame], int, DataFrame | None]:
+    """Edges of these runs, the depth reached, and the keys that lay in large buckets at depth 1.
+
+    If sets have a column `part`, buckets that lie in one part are left out: their sets are connected already.
+    """
+    now = sets.select(F.explode(F.array(*[F.lit(r).cast("long") for r in runs])).alias("path"), "key", "minima")
+    active = sets  # sets that the current level can hold
+    edges, first = [], None
     for depth in range(1, DEPTH + 1):
         level = stages.put(_children(now, threshold), f"paths{depth}")
-        counts = stages.put(level.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"counts{depth}")
+        if "part" in sets.columns:
+            parts = level.join(active.select("key", "part"), "key").groupBy("path")
+            counts = parts.agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("path", "m")
+        else:
+            counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        counts = stages.put(counts, f"counts{depth}")
         small, large = counts.where(F.col("m") <= bucket).select("path"), counts.where(F.col("m") > bucket).select("path")
         edges.append(stages.put(_bucket_edges(level.join(small, "path").join(active.select("key", "sketch"), "key")), f"edges{depth}"))
         if not large.limit(1).count():
-            break
+            return edges, depth, first
         hubs = stages.put(level.join(large, "path"), f"large{depth}")
         if depth == DEPTH:  # equal at ten positions in turn: verified below like the rest
             edges.append(hubs.join(hubs.groupBy("path").agg(F.min("key").alias("b")), "path").select(F.col("key").alias("a"), "b"))
             break
         active = stages.put(active.join(hubs.select("key").distinct(), "key"), f"active{depth}")
+        first = active.select("key") if first is None else first
         now = hubs.join(active.select("key", "minima"), "key")
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+    return edges, DEPTH, first
+
+
+def candidates(sets: DataFrame, stages: Stages, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
+    """sets (key, minima, sketch) to edges (a, b) that connect all sets that may be similar.
+
+    A pair that a split lost lay in a large bucket at depth 1, so further runs, as many as the depth reached asks
+    for, take the sets of such buckets only, and of these buckets those whose sets are not connected yet.
+    """
+    done = runs_needed(threshold, recall, 1)
+    sets = sets.select("key", "minima", "sketch")
+    edges, depth, split = _run(sets, range(done), stages, threshold, bucket)
+    while (needed := runs_needed(threshold, recall, depth)) > done:
+        parts = components(reduce(DataFrame.unionByName, edges), stages).select(F.col("v").alias("key"), F.col("c").alias("part"))
+        again = sets.join(split, "key").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
+        more, reached, _ = _run(stages.put(again, "again"), range(done, needed), stages, threshold, bucket)
+        edges, depth, done = edges + more, max(depth, reached), needed
+    return reduce(DataFrame.unionByName, edges)
 
 
 def _intersections(sets: list[np.ndarray]):

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,35 @@ def test_one_large_group_of_near_copies(spark, bucket, block):
 def test_short_texts_are_one_shingle(spark):
     docs = [(1, "A b"), (2, "a  B"), (3, "a b c"), (4, "a"), (5, None), (6, " ")]
     assert got(jaccard_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), Stages(spark, "t"))) == [(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0)]
+
+
+def test_pairs_in_split_buckets_are_found(spark):
+    """Pairs at 0.8 inside a family whose members share a passage and are otherwise apart."""
+    rng = np.random.default_rng(5)
+    hot, rows, n = rng.integers(1, 1 << 63, 130, dtype=np.uint64), [], 800
+    for i in range(n):
+        pair = rng.integers(1, 1 << 63, 90, dtype=np.uint64)
+        for side in (0, 1):
+            own = rng.integers(1, 1 << 63, 27, dtype=np.uint64)
+            m = jaccard_join.minima(np.unique(np.concatenate([hot, pair, own])))
+            rows.append((2 * i + side, m.tobytes(), (m & 255).astype(np.uint8).tobytes()))
+    sets = spark.createDataFrame(rows, "key long, minima binary, sketch binary")
+    edges = jaccard_join.candidates(sets, Stages(spark, "t"), recall=0.99, bucket=20)
+    root = list(range(2 * n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for e in edges.collect():
+        a, b = find(e.a), find(e.b)
+        root[max(a, b)] = min(a, b)
+    assert sum(find(2 * i) == find(2 * i + 1) for i in range(n)) >= 0.99 * n
+    assert len({find(i) for i in range(2 * n)}) > 0.8 * n
+
+
+def test_runs_grow_with_depth():
+    assert jaccard_join.survival(0.8, 0.8, 1) == pytest.approx(0.8) and jaccard_join.survival(0.8, 0.8, 2) == pytest.approx(0.8 * 0.84)
+    needed = [jaccard_join.runs_needed(0.8, 0.99999, d) for d in range(1, 11)]
+    assert needed[0] >= 8 and needed == sorted(needed) and needed[-1] > 26
