@@ -55,10 +55,13 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(a, b) / longest))
 
 
-def similar_pairs(records: DataFrame, rule: Rule, block: list[str]) -> DataFrame:
-    """Pairs a < b that the rule's YAML predicates accept: an equi-join on exact and block columns, the rest as residual."""
+def similar_pairs(records: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs a < b that the rule's YAML predicates accept: an equi-join on exact columns, the rest as residual.
+
+    Nothing but the rule narrows the pairs; one without exact columns compares every pair.
+    """
     rule = rule.on(records.columns)
-    keys = list(dict.fromkeys([*block, *rule.exact]))
+    keys = rule.exact
     cut = records.select("row_id", *dict.fromkeys([*keys, *rule.fuzzy, *rule.exact_or_null, *rule.weights]))
     a, b = cut.alias("a"), cut.alias("b")
     left, right = (lambda c: F.col(f"a.`{c}`")), (lambda c: F.col(f"b.`{c}`"))

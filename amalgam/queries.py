@@ -479,9 +479,12 @@ def evidence_pipeline(spark, sf):
 # ---- rule documents ----
 
 
+SIMILAR_NAMES = Rule("r", "r", "suspect", exact=("p_brand",), fuzzy=("p_name",))
+
+
 @query("SELECT a.p_partkey AS idx_a, b.p_partkey AS idx_b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND 100.0 * (1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name))) > 80")
 def semql_join(spark, sf):
-    return export.similar_pairs(part(spark, sf), Rule("r", "r", "suspect", fuzzy=("p_name",)), ["p_brand"])
+    return export.similar_pairs(part(spark, sf), SIMILAR_NAMES)
 
 
 _DOCUMENT = {
