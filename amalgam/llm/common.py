@@ -8,12 +8,15 @@ of the same columns; repeated rows are separate rows and each gets its own row o
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from amalgam.operators.graph import shared_dir
+
 #: White space of the word contracts (space, tab, line feed, vertical tab, form feed, return).
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -28,20 +31,6 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (local mode only) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir().rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="amalgam-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 class Stages:
     """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
@@ -73,6 +62,63 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+#: Most bits of a filter by key: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+_PROBES = 5
+_PAGE = 512
+
+
+def _filter_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits that each key sets: _PROBES places by double hashing."""
+    h = keys.astype(np.int64).view(np.uint64)
+    step = ((h >> np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h[:, None] + step[:, None] * np.arange(_PROBES, dtype=np.uint64)) >> np.uint64(20)) & np.uint64(bits - 1)
+
+
+def key_filter(keys: DataFrame, most_bits: int = FILTER_BITS):
+    """A Bloom filter of one long column as a function of a column: false means that the key is not among `keys`.
+
+    It has about 12 bits a key up to `most_bits`, which bound what is collected and broadcast. Beyond that it lets
+    more keys through, and never holds one back that it should not, so a join after it has the same result.
+    """
+    spark, name = keys.sparkSession, keys.columns[0]
+    n = max(1, keys.count())
+    bits = min(most_bits, max(1024, 1 << (12 * n - 1).bit_length()))
+
+    def places(frames):
+        for f in frames:
+            at = np.unique(_filter_places(f[name].to_numpy(), bits))
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (at & np.uint64(63)).astype(np.int32)})
+
+    def page(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(_PAGE, dtype=np.int64)
+        out[frame["word"].to_numpy(np.int64) % _PAGE] = frame["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"page": [key[0]], "bits": [out.tobytes()]})
+
+    set_words = keys.mapInPandas(places, "word long, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    pages = set_words.groupBy(F.floor(F.col("word") / _PAGE).alias("page")).applyInPandas(page, "page long, bits binary")
+    table = np.zeros(max(_PAGE, bits // 64), dtype=np.uint64)
+    for r in pages.collect():  # at most most_bits in all
+        table[r["page"] * _PAGE : (r["page"] + 1) * _PAGE] = np.frombuffer(r["bits"], dtype=np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def among(key: pd.Series) -> pd.Series:
+        at = _filter_places(key.to_numpy(), bits)
+        return pd.Series(((shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(axis=1))
+
+    return among
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def numbered(df: DataFrame, stages: Stages, groups: list[str], uid: str, out: str, block: int = 50_000) -> DataFrame:
     """Add `out`: gapless from 0 within each group, without bringing a group into one task.
 

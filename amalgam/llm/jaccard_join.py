@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amalgam.llm.common import Stages, components, read, words
+from amalgam.llm.common import Stages, components, key_filter, read, words
 from amalgam.llm.substrings import LAST, WordHashes, gram_hashes
 
 WORDS = 5
@@ -82,11 +82,20 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             for doc, row, text in zip(f["doc"], f["row"], f["text"]):
                 s = shingles(text, hashes, k)
                 key = np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64) if len(s) else 0
-                m = minima(s) if len(s) else None
-                rows.append((doc, row, key, len(s), None if m is None else m.tobytes(), None if m is None else (m & 255).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc", "row", "key", "n", "minima", "sketch"])
+                rows.append((doc, row, key, len(s), minima(s).tobytes() if len(s) else None))
+            yield pd.DataFrame(rows, columns=["doc", "row", "key", "n", "minima"])
 
-    return docs.mapInPandas(run, "doc long, row long, key long, n long, minima binary, sketch binary")
+    return docs.mapInPandas(run, "doc long, row long, key long, n long, minima binary")
+
+
+def _sketched(sets: DataFrame) -> DataFrame:
+    """sets with `sketch`: the low byte of each minimum."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(sketch=[np.frombuffer(m, dtype=np.uint8)[::4].tobytes() for m in f["minima"]])
+
+    return sets.mapInPandas(run, ", ".join(f"{name} {kind}" for name, kind in sets.dtypes) + ", sketch binary")
 
 
 def positions(path: int, threshold: float) -> list[int]:
@@ -97,21 +106,23 @@ def positions(path: int, threshold: float) -> list[int]:
 
 
 def _children(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows (path, key, minima) to path of each child, key."""
+    """rows (path, key, minima, perhaps part) to path of each child, key, and the part."""
+    kept = [c for c in ("key", "part") if c in rows.columns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
             m = np.frombuffer(b"".join(f["minima"]), dtype="<u4").reshape(len(f), TRIALS)
-            path, key = f["path"].to_numpy(np.int64), f["key"].to_numpy(np.int64)
+            path = f["path"].to_numpy(np.int64)
             for p in np.unique(path):
                 on = np.flatnonzero(path == p)
+                own = {c: f[c].to_numpy(np.int64)[on] for c in kept}
                 for i in positions(int(p), threshold):
                     child = _mix(m[on, i].astype(np.uint64) + _mix(np.array([p], np.int64).view(np.uint64) + np.uint64(i * 7919 + 1)))
-                    yield pd.DataFrame({"path": child.view(np.int64), "key": key[on]})
+                    yield pd.DataFrame({"path": child.view(np.int64), **own})
 
-    return rows.select("path", "key", "minima").mapInPandas(run, "path long, key long")
+    return rows.select("path", "minima", *kept).mapInPandas(run, ", ".join(f"{c} long" for c in ("path", *kept)))
 
 
 def _grouped(frames: Iterator[pd.DataFrame], by: list[str], work) -> Iterator[pd.DataFrame]:
@@ -196,33 +207,36 @@ def runs_needed(threshold: float, recall: float, depth: int) -> int:
 
 
 def _run(sets: DataFrame, runs: range, stages: Stages, threshold: float, bucket: int) -> tuple[list[DataFrame], int, DataFrame | None]:
-    """Edges of these runs, the depth reached, and the keys that lay in large buckets at depth 1.
+    """Edges of these runs, the depth reached, and the sets that lay in large buckets at depth 1.
 
     If sets have a column `part`, buckets that lie in one part are left out: their sets are connected already.
     """
-    now = sets.select(F.explode(F.array(*[F.lit(r).cast("long") for r in runs])).alias("path"), "key", "minima")
+    now = sets.select(F.explode(F.array(*[F.lit(r).cast("long") for r in runs])).alias("path"), *[c for c in sets.columns if c != "sketch"])
     active = sets  # sets that the current level can hold
     edges, first = [], None
     for depth in range(1, DEPTH + 1):
         level = stages.put(_children(now, threshold), f"paths{depth}")
         if "part" in sets.columns:
-            parts = level.join(active.select("key", "part"), "key").groupBy("path")
-            counts = parts.agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("path", "m")
+            counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("path", "m")
         else:
             counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        counts = stages.put(counts, f"counts{depth}")
-        small, large = counts.where(F.col("m") <= bucket).select("path"), counts.where(F.col("m") > bucket).select("path")
-        edges.append(stages.put(_bucket_edges(level.join(small, "path").join(active.select("key", "sketch"), "key")), f"edges{depth}"))
-        if not large.limit(1).count():
-            return edges, depth, first
-        hubs = stages.put(level.join(large, "path"), f"large{depth}")
+        sized = stages.put(level.join(counts, "path").select("path", "key", "m"), f"sized{depth}")
+        stages.drop(level)
+        edges.append(stages.put(_bucket_edges(sized.where(F.col("m") <= bucket).join(active.select("key", "sketch"), "key")), f"edges{depth}"))
+        hubs = sized.where(F.col("m") > bucket).select("path", "key")
+        if not hubs.limit(1).count():
+            stages.drop(sized)
+            break
         if depth == DEPTH:  # equal at ten positions in turn: verified below like the rest
             edges.append(hubs.join(hubs.groupBy("path").agg(F.min("key").alias("b")), "path").select(F.col("key").alias("a"), "b"))
             break
-        active = stages.put(active.join(hubs.select("key").distinct(), "key"), f"active{depth}")
-        first = active.select("key") if first is None else first
-        now = hubs.join(active.select("key", "minima"), "key")
-    return edges, DEPTH, first
+        keys = stages.put(hubs.select("key").distinct(), f"hubs{depth}")
+        active, before = stages.put(active.where(key_filter(keys)("key")).join(keys, "key", "left_semi"), f"active{depth}"), active
+        if depth > 2:
+            stages.drop(before)
+        first = active if first is None else first
+        now = hubs.join(active.drop("sketch"), "key")
+    return edges, depth, first
 
 
 def candidates(sets: DataFrame, stages: Stages, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
@@ -236,8 +250,8 @@ def candidates(sets: DataFrame, stages: Stages, threshold: float = THRESHOLD, re
     edges, depth, split = _run(sets, range(done), stages, threshold, bucket)
     while (needed := runs_needed(threshold, recall, depth)) > done:
         parts = components(reduce(DataFrame.unionByName, edges), stages).select(F.col("v").alias("key"), F.col("c").alias("part"))
-        again = sets.join(split, "key").join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
-        more, reached, _ = _run(stages.put(again, "again"), range(done, needed), stages, threshold, bucket)
+        again = stages.put(split.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "again")
+        more, reached, _ = _run(again, range(done, needed), stages, threshold, bucket)
         edges, depth, done = edges + more, max(depth, reached), needed
     return reduce(DataFrame.unionByName, edges)
 
@@ -307,13 +321,16 @@ def jaccard_classes(docs: DataFrame, stages: Stages, threshold: float = THRESHOL
     """docs (doc_id, text) to row (see row_key), doc_id, class_id, n_links, and the row of the class that stays."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), row_key().alias("row"), "text")
     scanned = stages.put(_sets(keyed, k), "scanned")
-    sets = scanned.where("n > 0").groupBy("key").agg(F.min("doc").alias("owner"), F.min_by("row", F.struct("doc", "row")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("sketch").alias("sketch"))
-    sets = stages.put(sets, "sets")
+    sets = scanned.where("n > 0").groupBy("key").agg(F.min("doc").alias("owner"), F.min_by("row", F.struct("doc", "row")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("minima").alias("minima"))
+    sets = stages.put(_sketched(sets), "sets")
+    whole, scanned = scanned, stages.put(scanned.drop("minima"), "rows")
+    stages.drop(whole)
     groups = components(candidates(sets, stages, threshold, recall, bucket), stages)
     members = groups.select(F.col("v").alias("key"), F.col("c").alias("grp")).join(sets.select("key", "row", "copies", "n"), "key")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("nb"))
     members = stages.put(members.join(sizes, "grp").select("row", "grp", "nb", "key", "copies"), "members")
-    texts = keyed.select("row", "text").join(members, "row").select("grp", "nb", "key", "copies", "text")
+    # only texts that may be wanted move; the filter's few false ones fall out in the join
+    texts = keyed.select("row", "text").where(key_filter(members.select("row"))("row")).join(members, "row").select("grp", "nb", "key", "copies", "text")
     cut = _shingled(texts, k).withColumn("block", F.pmod(F.xxhash64("key"), "nb"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     cut = cut.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "copies", "shingles")
