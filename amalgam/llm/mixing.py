@@ -6,8 +6,8 @@ with probability min(1, s * f_c), where f_c is the cell's raked over its present
 calibrated so that the expected tokens meet the budget; where the cap of 1 binds, s makes up for it.
 
 Cases: null source, language or topic is a category of its own (""); a null or blank text has no
-tokens and the factor 1, as has a cell without tokens; repeated rows share one decision; a table
-with no tokens at all keeps every document.
+tokens and always stays, with factor and probability 1; rows with one doc_id share one draw, and rows
+without an id draw by their number of tokens and cell; a table with no tokens at all keeps every document.
 """
 
 from __future__ import annotations
@@ -42,6 +42,10 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\x0B\\f\\r]+")), F.lit(0)).cast("long")
 
 
+def has_tokens(text: Column) -> Column:
+    return F.coalesce(text.rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+
+
 def _targets(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
     """Target share of each value: its token share to the power `exponent`, scaled to 1."""
     own = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("m")).where("m > 0")
@@ -92,6 +96,11 @@ def unit_interval(seed: str, *columns: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def draw(seed: str, doc_id: Column, *others: Column) -> Column:
+    """The number in [0, 1) that decides on a row: by its id, and for a row without one by `others`."""
+    return F.when(doc_id.isNotNull(), unit_interval(seed, doc_id)).otherwise(unit_interval(seed, F.lit(""), *others))
+
+
 def probabilities(docs: DataFrame, stages: Stages, fraction: float = 0.6, exponent: float = 0.5, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """docs (dimensions, n_tokens) to one row a cell that has tokens: its factor f and probability p."""
     cells = stages.put(keyed(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "counts")
@@ -108,8 +117,9 @@ def mix(docs: DataFrame, cells: DataFrame, seed: str = "mix") -> DataFrame:
 
     There are as many cells as values occur together; Spark broadcasts them while they are small.
     """
-    out = keyed(docs).join(cells, list(DIMENSIONS), "left").withColumns({"f": F.coalesce("f", F.lit(1.0)), "p": F.coalesce("p", F.lit(1.0))})
-    return out.withColumns({"weight": F.round("f", 6), "probability": F.round("p", 6), "sampled": unit_interval(seed, F.col("doc_id")) < F.col("p")}).drop("f", "p")
+    some = F.col("n_tokens") > 0
+    out = keyed(docs).join(cells, list(DIMENSIONS), "left").withColumns({c: F.when(some, F.coalesce(c, F.lit(1.0))).otherwise(F.lit(1.0)) for c in ("f", "p")})
+    return out.withColumns({"weight": F.round("f", 6), "probability": F.round("p", 6), "sampled": draw(seed, F.col("doc_id"), F.col("n_tokens"), *[F.col(d) for d in DIMENSIONS]) < F.col("p")}).drop("f", "p")
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -145,9 +155,11 @@ def _sql() -> str:
         full = f"(SELECT coalesce(sum(tokens) FILTER (p >= 1), 0) FROM k{i})"
         free = f"(SELECT coalesce(sum(p * tokens) FILTER (p < 1), 0.0) FROM k{i})"
         parts.append(f"k{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN p >= 1 THEN 1.0::DOUBLE WHEN {free} <= 0 THEN p ELSE least(1.0::DOUBLE, p * greatest(1.0::DOUBLE, (0.6::DOUBLE * total - {full}) / {free})) END AS p) FROM k{i})")
-    u = "(('0x' || substr(md5(concat_ws('|', 'mix', coalesce(d.doc_id::VARCHAR, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+    key = f"CASE WHEN d.doc_id IS NOT NULL THEN concat_ws('|', 'mix', d.doc_id::VARCHAR) ELSE concat_ws('|', 'mix', '', d.n_tokens::VARCHAR, {', '.join('d.' + x for x in DIMENSIONS)}) END"
+    u = f"(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
     same = " AND ".join(f"d.{x} = k.{x}" for x in DIMENSIONS)
-    return f"WITH {', '.join(parts)} SELECT d.doc_id, {', '.join('d.' + x for x in DIMENSIONS)}, d.n_tokens, round(coalesce(k.f, 1.0::DOUBLE), 6) AS weight, round(coalesce(k.p, 1.0::DOUBLE), 6) AS probability, {u} < coalesce(k.p, 1.0::DOUBLE) AS sampled FROM d LEFT JOIN k{CALIBRATIONS} k ON {same}"
+    one = lambda x: f"CASE WHEN d.n_tokens > 0 THEN coalesce(k.{x}, 1.0::DOUBLE) ELSE 1.0::DOUBLE END"
+    return f"WITH {', '.join(parts)} SELECT d.doc_id, {', '.join('d.' + x for x in DIMENSIONS)}, d.n_tokens, round({one('f')}, 6) AS weight, round({one('p')}, 6) AS probability, {u} < {one('p')} AS sampled FROM d LEFT JOIN k{CALIBRATIONS} k ON {same}"
 
 
 QUERIES = {"op7_mixing": op7_mixing}

@@ -39,3 +39,21 @@ def test_expected_tokens_meet_the_budget(spark):
     got = mixing.mix(docs, mixing.probabilities(docs, Stages(spark, "t"))).toPandas()
     assert (got.n_tokens * got.probability).sum() == pytest.approx(0.6 * got.n_tokens.sum(), rel=1e-3)
     assert abs(got.n_tokens[got.sampled].sum() / got.n_tokens.sum() - 0.6) < 0.04
+
+
+def test_blank_texts_always_stay(spark, tmp_path):
+    raw = spark.read.parquet(f"{SF}/documents.parquet")
+    blank = raw.limit(20).selectExpr("doc_id + 10000000 AS doc_id", "CASE WHEN doc_id % 2 = 0 THEN '' END AS text", "'en' AS lang", "source", "n_chars")
+    raw.unionByName(blank).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op7_mixing(spark, str(tmp_path))
+    rows = got.where("n_tokens = 0").collect()
+    assert len(rows) >= 20 and all(r.sampled and r.weight == r.probability == 1 for r in rows)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(mixing.ORACLE_SQL["op7_mixing"]).fetchall())
+
+
+def test_rows_without_an_id_draw_apart(spark):
+    docs = spark.range(400).selectExpr("CAST(NULL AS LONG) AS doc_id", "'s' AS source", "'l' AS lang", "'t' AS topic", "10L + id AS n_tokens")
+    kept = mixing.mix(docs, mixing.probabilities(docs, Stages(spark, "t"))).where("sampled").count()
+    assert 160 < kept < 320
