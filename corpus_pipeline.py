@@ -10,41 +10,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.llm import jaccard_join, mixing, packing, personal_data, toxicity
-from amalgam.llm.common import Stages, read
+from amalgam.llm.common import Stages, fresh, key_filter, read
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar scores under one half; null and blank texts stay."""
+    """Documents that the grammar scores under one half.
+
+    Null and blank texts match nothing and stay; repeated rows score alike and stay or go together; an empty
+    table stays empty; without labels the fixed seeds and prior weights decide.
+    """
     grammar = toxicity.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"), Stages(spark, "pipeline-toxicity"))
-    return toxicity.scored(docs, grammar, docs.columns, "_toxic").where("_toxic < 0.5").drop("_toxic")
+    score = fresh(docs, "toxic_score")
+    return toxicity.scored(docs, grammar, docs.columns, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id; of its repeated rows, one."""
+    """Of each class of linked documents the one with the least doc_id; of its repeated rows, one.
+
+    Null, empty and blank texts have no links, so all of them stay, repeated or not; a null doc_id counts as the
+    largest. Only rows that a filter by key takes for linked are shuffled; all others pass straight through.
+    """
     classes = jaccard_join.jaccard_classes(docs.select("doc_id", "text"), Stages(spark, "pipeline-jaccard"))
-    linked = classes.where("n_links > 0").select("row", (F.col("row") == F.col("stays")).alias("stays")).distinct()
-    rows = docs.withColumn("_row", jaccard_join.row_key()).join(linked.withColumnRenamed("row", "_row").withColumnRenamed("stays", "_stays"), "_row", "left")
-    alone = rows.where("_stays IS NULL")
-    return alone.unionByName(rows.where("_stays").dropDuplicates(["_row"])).select(*docs.columns)
+    key, stays, one = (fresh(docs, c) for c in ("row_key", "row_stays", "row_once"))
+    linked = classes.where("n_links > 0").select(F.col("row").alias(key), (F.col("row") == F.col("stays")).alias(stays)).distinct()
+    linked = Stages(spark, "pipeline-linked").put(linked, "linked")
+    keyed = docs.withColumn(key, jaccard_join.row_key())
+    may_be_linked = key_filter(linked.select(key))
+    alone = keyed.where(~may_be_linked(key))
+    some = keyed.where(may_be_linked(key)).join(linked, key, "left").where(F.coalesce(stays, F.lit(True)))
+    # repeated rows of the document that stays share their key and a null; rows without links are each on their own
+    some = some.withColumn(one, F.when(F.col(stays).isNull(), F.monotonically_increasing_id())).dropDuplicates([key, one])
+    return alone.select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by the kind in angle brackets."""
+    """Every document, its personal data replaced by the kind in angle brackets.
+
+    Null and blank texts stay as they are, repeated rows are replaced alike, and an empty table stays empty.
+    """
     field = personal_data.train(docs.select("doc_id", "text"), Stages(spark, "pipeline-personal"))
     return personal_data.redacted(docs, field)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the calibrated probabilities sample (DataFrame functions only)."""
+    """The documents that the calibrated probabilities sample (DataFrame functions only).
+
+    Null and blank texts have no tokens and stay; rows with one doc_id share a draw; a table without any
+    tokens stays whole.
+    """
     stages = Stages(spark, "pipeline-mixing")
-    cells = mixing.probabilities(stages.put(mixing.described(docs), "described"), stages).withColumnsRenamed({"source": "_source", "lang": "_lang", "topic": "_topic", "f": "_f", "p": "_p"})
-    keyed = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_lang": F.coalesce("lang", F.lit("")), "_topic": mixing.topic_of(F.col("text"))})
-    chance = F.coalesce(F.col("_p"), F.lit(1.0))
-    return keyed.join(cells, ["_source", "_lang", "_topic"], "left").where(mixing.unit_interval("mix", F.col("doc_id")) < chance).select(*docs.columns)
+    cells = mixing.probabilities(stages.put(mixing.described(docs), "described"), stages)
+    names = {c: fresh(docs, f"mix_{c}") for c in (*mixing.DIMENSIONS, "p")}
+    source, lang, topic, p = names.values()
+    keyed = docs.withColumns({source: F.coalesce("source", F.lit("")), lang: F.coalesce("lang", F.lit("")), topic: mixing.topic_of(F.col("text"))})
+    rated = keyed.join(cells.drop("f").withColumnsRenamed(names), [source, lang, topic], "left")
+    chance = F.when(mixing.has_tokens(F.col("text")), F.coalesce(F.col(p), F.lit(1.0))).otherwise(F.lit(1.0))
+    drawn = mixing.draw("mix", F.col("doc_id"), mixing.n_tokens(F.col("text")), *[F.col(c) for c in (source, lang, topic)])
+    return rated.where(drawn < chance).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences: where each piece of each document lies."""
+    """Sequences: where each piece of each document lies.
+
+    A null or empty text is one piece of the end token alone; repeated rows are packed each on their own; an empty
+    table gives no pieces.
+    """
     return packing.pack(packing.pieces(docs.select("doc_id", "text")), Stages(spark, "pipeline-packing"))
 
 
