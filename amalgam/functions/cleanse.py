@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,18 @@ ABBREVIATIONS = (
 PHONE = r"^\+?[\d\s\-().]{7,15}$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
-#: Date forms: a pattern that admits a value and the format that reads it; month first, then day first.
-_SAME = ((r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{8}$", "yyyyMMdd"), (r"^\d{4}$", "yyyy"), (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"), (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"), (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"))
-_MONTH_FIRST = ((r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"), (r"^\d{1,2}-\d{1,2}-\d{2}$", "M-d-yy"))
-_DAY_FIRST = tuple((p, "/".join(("d", "M", f[4:])) if "/" in f else "-".join(("d", "M", f[4:]))) for p, f in _MONTH_FIRST)
+#: Names of months, and of weekdays that may stand before a date.
+_MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_WEEKDAY = "(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? +)?"
+#: Forms of dates with a month's name, and a time that may follow.
+_NAMED = rf"(?i)^{_WEEKDAY}({_MONTH}[ -]\d{{1,2}}(st|nd|rd|th)?(, ?| |-)\d{{4}}|\d{{1,2}}(st|nd|rd|th)?[ -]{_MONTH}[ ,-]+\d{{4}}|\d{{4}}[ -]{_MONTH}[ -]\d{{1,2}}|{_MONTH}[ ,-]+\d{{4}})$"
+_TIME = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+#: Years whose dates count; others stay as they are.
+FIRST_YEAR, LAST_YEAR = 1678, 2261
+#: Forms of numbers that say the same whichever of day and month comes first, rewritten as year, month and day.
+_PLAIN = ((r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), (r"^(\d{4})$", "$1-1-1"), (r"^(\d{4})[-/](\d{1,2})$", "$1-$2-1"), (r"^(\d{1,2})[-/](\d{4})$", "$2-$1-1"))
+_YEAR_FIRST, _YEAR_LAST = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$", r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$"
 
 
 def normalise_phone(c: Column) -> Column:
@@ -69,16 +78,46 @@ def parse_full_name(c: Column) -> Column:
     return F.create_map(F.lit("full"), cleaned(c, lambda t: t))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def standardise_date(c: Column, day_first: bool = False) -> Column:
-    """ISO date of the first form that reads the value; a value of no such form stays as it is."""
-    forms = (*_SAME, *((*_DAY_FIRST, *_MONTH_FIRST) if day_first else (*_MONTH_FIRST, *_DAY_FIRST)))
+    """ISO date of a value in one of the forms above; any other value stays as it is.
+
+    Of two numbers that can both be the month the first is, or with `day_first` the second; where that gives
+    no date, the other way. Two digits of a year stand for one less than fifty years ahead or at most fifty back.
+    """
+    now = date.today().year
+    years = {f"{y:02d}": next(x for x in range(y + now // 100 * 100 - 100, now + 151, 100) if now - 50 <= x < now + 50) for y in range(100)}
+    centuries = {y[:-2]: "|".join(two for two, full in years.items() if str(full)[:-2] == y[:-2]) for y in sorted(map(str, years.values()))}
+
+    def numbers(t: Column) -> Column:
+        for century, two in centuries.items():
+            t = F.regexp_replace(t, rf"^(\d{{1,2}}[-/.]\d{{1,2}}[-/.])({two})$", f"$1{century}$2")
+        for form, ymd in _PLAIN:
+            t = F.regexp_replace(t, form, ymd)
+        return t
+
+    def named(t: Column) -> Column:
+        month = ((F.instr(F.lit(_MONTHS), F.substring(F.regexp_extract(t, _MONTH, 0), 1, 3)) + 2) / 3).cast("int").cast("string")
+        day = F.regexp_extract(t, r"(?<!\d)(\d{1,2})(?!\d)", 1)
+        return F.when(t.rlike(_NAMED), F.concat_ws("-", F.regexp_extract(t, r"\d{4}", 0), month, F.when(day == "", "1").otherwise(day)))
+
+    def dated(t: Column, swapped: bool) -> Column:
+        m, d = ("$4", "$3") if swapped else ("$3", "$4")
+        t = F.regexp_replace(t, _YEAR_FIRST, f"$1-{m}-{d}")
+        m, d = ("$3", "$1") if swapped else ("$1", "$3")
+        return _let(F.regexp_replace(t, _YEAR_LAST, f"$4-{m}-{d}"), lambda ymd: F.when(ymd.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), ymd.try_cast("date")))
 
     def read(t: Column) -> Column:
-        t = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.regexp_replace(t, "T", " ")).otherwise(t)
-        tries = [F.when(t.rlike(p), F.date_format(F.try_to_timestamp(t, F.lit(f)), "yyyy-MM-dd")) for p, f in forms]
-        return F.coalesce(*tries, t)
+        t = F.lower(F.when(F.contains(t, F.lit(":")), F.regexp_replace(t, _TIME, "")).otherwise(t))
+        plain = lambda t: _let(numbers(t), lambda n: F.coalesce(dated(n, day_first), dated(n, not day_first)))
+        found = _let(t, lambda t: F.when(t.rlike("[a-z]"), named(t).try_cast("date")).otherwise(plain(t)))
+        return _let(found, lambda d: F.when(F.year(d).between(FIRST_YEAR, LAST_YEAR), d.cast("string")))
 
-    return cleaned(c, read)
+    return cleaned(c, lambda t: F.coalesce(read(t), t))
 
 
 #: Fixes by the words that name them, in order of precedence.

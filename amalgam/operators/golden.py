@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from amalgam.functions.text import present, utrim
-from amalgam.operators.graph import connected_components
-from amalgam.operators.match import apply_rules, record_values, rule_stats
+from amalgam.operators.graph import connected_components, staged
+from amalgam.operators.match import SHOWN, apply_rules, record_values, rule_stats, star_edges
 from amalgam.plans.rules import RuleSet
 
 CAP = 500
@@ -27,8 +27,13 @@ def clusters(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return connected_components(pairs, records)
 
 
-def cluster_sizes(members: DataFrame) -> DataFrame:
-    return members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.sort_array(F.collect_list("row_id")).alias("source_idxs"))
+def cluster_sizes(members: DataFrame, lists: bool = True) -> DataFrame:
+    """cluster_id, cluster_size and, with `lists`, the rows as an array: one row then holds a whole cluster.
+
+    Where a cluster can be too large for that, `members` itself is the long form of the lists.
+    """
+    rows = [F.sort_array(F.collect_list("row_id")).alias("source_idxs")] if lists else []
+    return members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), *rows)
 
 
 def capped(members: DataFrame, cap: int | None = CAP) -> DataFrame:
@@ -66,13 +71,16 @@ def survivorship(records: DataFrame, members: DataFrame, source: str | None = No
     return out.select(entity_id(F.col("cluster_id")).alias("entity_id"), "cluster_id", "ord", F.col("field").alias("field_name"), "value", "source_idx", name.alias("source_name"), "reason")
 
 
-def entities(members: DataFrame, pairs: DataFrame, cap: int | None = CAP) -> DataFrame:
-    """entity_id, cluster_id, cluster_size, source_idxs, match_type, matched_by: largest first, ties by least row."""
+def entities(members: DataFrame, pairs: DataFrame, cap: int | None = CAP, lists: bool = True) -> DataFrame:
+    """entity_id, cluster_id, cluster_size, source_idxs, match_type, matched_by: largest first, ties by least row.
+
+    Without `lists` source_idxs is missing; capped(members) is its long form.
+    """
     kept = capped(members, cap)
-    sizes = kept.groupBy("cluster_id").agg(F.max("cluster_size").alias("cluster_size"), F.sort_array(F.collect_list("row_id")).alias("source_idxs"))
+    sizes = cluster_sizes(kept, lists)
     of = pairs.join(kept.select(F.col("row_id").alias("idx_a"), "cluster_id"), "idx_a")
     how = of.groupBy("cluster_id").agg(F.when(F.bool_or(F.col("rule_type") == "automatic"), "automatic").otherwise("suspect").alias("match_type"), F.sort_array(F.collect_set("rule_label")).alias("matched_by"))
-    return sizes.join(how, "cluster_id").select(entity_id(F.col("cluster_id")).alias("entity_id"), "cluster_id", "cluster_size", "source_idxs", "match_type", "matched_by").orderBy(F.desc("cluster_size"), "cluster_id")
+    return sizes.join(how, "cluster_id").select(entity_id(F.col("cluster_id")).alias("entity_id"), *sizes.columns, "match_type", "matched_by").orderBy(F.desc("cluster_size"), "cluster_id")
 
 
 def golden_records(records: DataFrame, members: DataFrame, pairs: DataFrame, source: str | None = None, priorities: list[str] | None = None, cap: int | None = CAP) -> DataFrame:
@@ -91,18 +99,23 @@ def summary(members: DataFrame, pairs: DataFrame, cap: int | None = CAP) -> Data
     """One row: records, entities, automatic, suspect, singletons, share of records saved."""
     sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
     counts = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("input_records"), F.count_if(F.col("n") == 1).alias("singletons"))
-    kinds = entities(members, pairs, cap).agg(F.count_if(F.col("match_type") == "automatic").alias("auto_merged"), F.count_if(F.col("match_type") != "automatic").alias("suspect_merged"))
+    kinds = entities(members, pairs, cap, lists=False).agg(F.count_if(F.col("match_type") == "automatic").alias("auto_merged"), F.count_if(F.col("match_type") != "automatic").alias("suspect_merged"))
     out = counts.crossJoin(F.broadcast(kinds)).withColumn("entities", F.col("auto_merged") + F.col("suspect_merged") + F.col("singletons"))
     saved = F.when(F.col("input_records") > 0, F.round((F.col("input_records") - F.col("entities")) * 100.0 / F.col("input_records"), 1)).otherwise(0.0)
     return out.select("input_records", "entities", "auto_merged", "suspect_merged", "singletons", saved.cast("double").alias("dedup_pct"))
 
 
+def entity_values_long(records: DataFrame, members: DataFrame) -> DataFrame:
+    """entity_id, field, value, first_row: the distinct values of each entity, a row each."""
+    cells = record_values(records).join(capped(members, None), "row_id")
+    return cells.groupBy("cluster_id", "field", "value").agg(F.min("row_id").alias("first_row")).select(entity_id(F.col("cluster_id")).alias("entity_id"), "field", "value", "first_row")
+
+
 def entity_values(records: DataFrame, members: DataFrame) -> DataFrame:
     """entity_id, field, distinct_values in order of first sight, has_conflict: all that an entity's records say."""
-    cells = record_values(records).join(capped(members, None), "row_id")
-    firsts = cells.groupBy("cluster_id", "field", "value").agg(F.min("row_id").alias("first_row"))
-    out = firsts.groupBy("cluster_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_row", "value"))), lambda s: s["value"]).alias("distinct_values"))
-    return out.select(entity_id(F.col("cluster_id")).alias("entity_id"), "field", "distinct_values", (F.size("distinct_values") > 1).alias("has_conflict"))
+    firsts = entity_values_long(records, members)
+    out = firsts.groupBy("entity_id", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_row", "value"))), lambda s: s["value"]).alias("distinct_values"))
+    return out.select("entity_id", "field", "distinct_values", (F.size("distinct_values") > 1).alias("has_conflict"))
 
 
 def entity_360(records: DataFrame, members: DataFrame, pairs: DataFrame, cluster: int) -> dict[str, DataFrame]:
@@ -116,8 +129,19 @@ def golden_grid(entity_rows: DataFrame, match_type: str | None = None, least_siz
     return out.where(F.col("match_type") == match_type) if match_type else out
 
 
+#: Headings of an entity's own columns in the grid.
+HEADINGS = {"entity_id": "Entity ID", "cluster_size": "Cluster Size", "match_type": "Match Type", "matched_by": "Matched By"}
+
+
+def grid_view(entity_rows: DataFrame, fields: DataFrame, columns: list[str]) -> DataFrame:
+    """Entities for display: their own columns under their headings, then the first data columns."""
+    shown = columns[: SHOWN["columns"]]
+    own = entity_rows.select("entity_id", "cluster_size", "match_type", F.array_join("matched_by", ", ").alias("matched_by"))
+    return own.join(wide(fields, shown), "entity_id", "left").select(*[F.col(c).alias(h) for c, h in HEADINGS.items()], *[F.col(f"`{c}`") for c in shown])
+
+
 def simulate(records: DataFrame, rules: RuleSet, source: str | None = None, priorities: list[str] | None = None, cap: int | None = CAP, phonetic: str = "prefix4") -> dict[str, DataFrame]:
     """From rules to pairs, clusters, golden records, summary and statistics."""
-    pairs = apply_rules(records, rules, phonetic).persist()
-    members = clusters(pairs, records)
+    pairs = staged(apply_rules(records, rules, phonetic))
+    members = staged(connected_components(star_edges(records, rules, phonetic), records))
     return {"pairs": pairs, "clusters": members, "golden": golden_records(records, members, pairs, source, priorities, cap), "golden_fields": survivorship(records, capped(members, cap), source, priorities), "summary": summary(members, pairs, cap), "rule_stats": rule_stats(pairs)}

@@ -1,4 +1,4 @@
-"""Connected components of an edge table."""
+"""Tables staged in the shared folder, and connected components of an edge table."""
 
 from __future__ import annotations
 
@@ -22,38 +22,74 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+class Stages:
+    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, f"{shared_dir(spark)}/amalgam/{name}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n:03d}-{name}"
+        writer = df.write.option("compression", "zstd")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.amalgam_path = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete staged tables that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for df in frames:
+            path = jvm.org.apache.hadoop.fs.Path(df.amalgam_path)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def components(edges: DataFrame, stages: Stages, limit: int = 60) -> DataFrame:
+    """(v, c) for every vertex of `edges` (a, b longs): c is the least vertex of its component.
+
+    Each round a vertex takes the least label among its neighbours, its label's own vertex takes the least
+    that any vertex with that label has seen, and labels are replaced by their labels' labels; rounds, in
+    number about the logarithm of a component, stop when nothing changes. Minima combine before each shuffle.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stages.put(both.where("a <> b").distinct(), "edges")
+    labels = stages.put(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("v"), "c"), "labels")
+    for _ in range(limit):
+        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "v")
+        seen = stages.put(labels.join(near, "v"), "seen")
+        hook = seen.groupBy(F.col("c").alias("v")).agg(F.min("m").alias("h"))
+        least = stages.put(seen.join(hook, "v", "left").select("v", F.col("c").alias("old"), F.least("c", "m", F.coalesce("h", "c")).alias("c")), "least")
+        up = least.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+        done = stages.put(least.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")), "labels")
+        moved = done.where("c <> old").limit(1).count()
+        stages.drop(labels, seen, least)
+        path = done.amalgam_path
+        labels = done.select("v", "c")
+        labels.amalgam_path = path
+        if not moved:
+            stages.drop(both)
+            return labels
+    raise RuntimeError(f"components did not settle within {limit} rounds")
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read again: it cuts lineage, and unlike checkpoint()
     the estimates of the plan's size too, which otherwise multiply with each round's joins."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/amalgam/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stages(df.sparkSession, "staged").put(df, "table")
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, limit: int = 60) -> DataFrame:
     """edges (idx_a, idx_b) to (row_id, cluster_id): the least row of the component.
 
-    Each round takes the least label among neighbours, hooks a label's own row to the least label that
-    any row with it has seen, and jumps to the label's label; rounds go with the logarithm of a component.
-    The driver only sees whether a label has changed. Vertices without an edge are clusters of their own.
+    Vertices without an edge are clusters of their own, if `vertices` (row_id) are given.
     """
-    both = edges.select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b"))
-    both = staged(both.union(both.select("b", "a")).where("a <> b").distinct())
-    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("c"))
-    for _ in range(limit):
-        near = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        seen = labels.join(near, "a")
-        hook = seen.groupBy(F.col("c").alias("a")).agg(F.min("m").alias("h"))
-        least = staged(seen.join(hook, "a", "left").select("a", F.col("c").alias("was"), F.least("c", "m", F.coalesce("h", "c")).alias("c")))
-        if least.where("c <> was").isEmpty():
-            labels = least.select("a", "c")
-            break
-        up = least.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        labels = staged(least.join(up, "c").select("a", F.least("c", "cc").alias("c")))
-    else:
-        raise RuntimeError(f"components did not settle within {limit} rounds")
-    out = labels.select(F.col("a").alias("row_id"), F.col("c").alias("cluster_id"))
+    found = components(edges.select(F.col("idx_a").alias("a"), F.col("idx_b").alias("b")), Stages(edges.sparkSession, "components"), limit)
+    out = found.select(F.col("v").alias("row_id"), F.col("c").alias("cluster_id"))
     if vertices is None:
         return out
     return vertices.select("row_id").join(out, "row_id", "left").select("row_id", F.coalesce("cluster_id", "row_id").alias("cluster_id"))

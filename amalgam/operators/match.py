@@ -56,45 +56,66 @@ def _keyed(records: DataFrame, rule: Rule, phonetic: str) -> tuple[DataFrame, li
     return cut, names, [c for c in cut.columns if c[0] == "l"]
 
 
-def rule_pairs(records: DataFrame, rule: Rule, ordinal: int = 0, phonetic: str = "prefix4") -> DataFrame:
+def rule_pairs(records: DataFrame, rule: Rule, ordinal: int = 0, phonetic: str = "prefix4", fresh: DataFrame | None = None) -> DataFrame:
     """Pairs a < b whose normalised keys agree and whose null-tolerant columns do not contradict.
 
-    An equi-self-join on narrow rows: NULL keys drop out, Catalyst picks sort-merge or hash, AQE splits
-    skewed keys. The pairs of a key that n rows share are n (n - 1) / 2: that is the result itself.
+    An equi-join on narrow rows: NULL keys drop out, Catalyst picks sort-merge or hash, AQE splits skewed
+    keys. The pairs of a key that n rows share are n (n - 1) / 2: that is the result itself. With `fresh`
+    (row_id, among `records`) one side of each pair is fresh, and pairs of two other rows are never made.
     """
     rule = rule.on(records.columns)
     if rule.negative or not (rule.exact or rule.fuzzy):
         return records.sparkSession.createDataFrame([], _PAIR)
     cut, keys, loose = _keyed(records, rule, phonetic)
-    a, b = cut.alias("a"), cut.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.row_id") < F.col("b.row_id")]
-    on += [F.col(f"a.{c}").isNull() | F.col(f"b.{c}").isNull() | (F.col(f"a.{c}") == F.col(f"b.{c}")) for c in loose]
-    return a.join(b, _and(on)).select(F.col("a.row_id").alias("idx_a"), F.col("b.row_id").alias("idx_b"), F.lit(ordinal).alias("rule_ord"), F.lit(rule.uri).alias("rule_uri"), F.lit(rule.label).alias("rule_label"), F.lit(rule.type).alias("rule_type"))
+    one, order = cut, F.col("a.row_id") < F.col("b.row_id")
+    if fresh is not None:
+        is_new = fresh.select("row_id", F.lit(True).alias("is_new"))
+        cut = cut.join(is_new, "row_id", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+        one, order = cut.where("is_new"), order | (~F.col("b.is_new"))
+    a, b = one.alias("a"), cut.alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [order]
+    on += [_compatible(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in loose]
+    x, y = F.col("a.row_id"), F.col("b.row_id")
+    return a.join(b, _and(on)).select(F.least(x, y).alias("idx_a"), F.greatest(x, y).alias("idx_b"), F.lit(ordinal).alias("rule_ord"), F.lit(rule.uri).alias("rule_uri"), F.lit(rule.label).alias("rule_label"), F.lit(rule.type).alias("rule_type"))
+
+
+def _compatible(a: Column, b: Column) -> Column:
+    return a.isNull() | b.isNull() | (a == b)
 
 
 def star_edges(records: DataFrame, rules: RuleSet, phonetic: str = "prefix4") -> DataFrame:
     """Edges (idx_a, idx_b) with the components of the rules' pairs, without listing the pairs.
 
-    A rule whose keys alone decide links each row to the least row of its key: n - 1 edges for n rows.
+    A rule whose keys alone decide links each row to the least row of its key: n - 1 edges for n rows. With
+    null-tolerant columns each row is linked to the least row with its key and values, and a key's least row
+    without any of those values to the least row of each; only rules with two such columns or more compare
+    the distinct values under a key, of which some are missing, with one another.
     """
     parts = []
-    for i, given in enumerate(rules.rules):
+    for given in rules.rules:
         rule = given.on(records.columns)
         if rule.negative or not (rule.exact or rule.fuzzy):
             continue
-        if rule.exact_or_null:
-            parts.append(rule_pairs(records, rule, i, phonetic).select("idx_a", "idx_b"))
-            continue
-        cut, keys, _ = _keyed(records, rule, phonetic)
+        cut, keys, loose = _keyed(records, rule, phonetic)
         cut = cut.where(_and(F.col(k).isNotNull() for k in keys))
-        least = cut.groupBy(*keys).agg(F.min("row_id").alias("idx_a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        parts.append(cut.join(least, keys).where("row_id <> idx_a").select("idx_a", F.col("row_id").alias("idx_b")))
+        same = [*keys, *loose]
+        least = cut.groupBy(*same).agg(F.min("row_id").alias("idx_a"), F.count(F.lit(1)).alias("n"))
+        tied = [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in same]
+        parts.append(cut.alias("c").join(least.where("n > 1").alias("l"), _and(tied)).where("row_id <> idx_a").select("idx_a", F.col("row_id").alias("idx_b")))
+        if not loose:
+            continue
+        bare = least.where(_and(F.col(c).isNull() for c in loose)).select(*keys, F.col("idx_a").alias("bare"))
+        parts.append(least.join(bare, keys).where("idx_a <> bare").select(F.col("bare").alias("idx_a"), F.col("idx_a").alias("idx_b")))
+        if len(loose) > 1:
+            some_missing = least.where(reduce(lambda x, y: x | y, [F.col(c).isNull() for c in loose]))
+            on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [_compatible(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in loose] + [F.col("a.idx_a") != F.col("b.idx_a")]
+            parts.append(some_missing.alias("a").join(least.alias("b"), _and(on)).select(F.col("a.idx_a").alias("idx_a"), F.col("b.idx_a").alias("idx_b")))
     return reduce(DataFrame.unionByName, parts) if parts else records.sparkSession.createDataFrame([], "idx_a long, idx_b long")
 
 
-def all_pairs(records: DataFrame, rules: RuleSet, phonetic: str = "prefix4") -> DataFrame:
-    """The pairs of all rules, with repeats."""
-    parts = [rule_pairs(records, r, i, phonetic) for i, r in enumerate(rules.rules) if not r.negative]
+def all_pairs(records: DataFrame, rules: RuleSet, phonetic: str = "prefix4", fresh: DataFrame | None = None) -> DataFrame:
+    """The pairs of all rules, with repeats; with `fresh`, those with a fresh side."""
+    parts = [rule_pairs(records, r, i, phonetic, fresh) for i, r in enumerate(rules.rules) if not r.negative]
     return reduce(DataFrame.unionByName, parts) if parts else records.sparkSession.createDataFrame([], _PAIR)
 
 
@@ -121,9 +142,28 @@ def demoted(pairs: DataFrame, records: DataFrame, columns: list[str]) -> DataFra
     return both.withColumn("rule_type", F.when((F.col("rule_type") == "automatic") & differs, "suspect").otherwise(F.col("rule_type"))).select(*pairs.columns)
 
 
-def apply_rules(records: DataFrame, rules: RuleSet, phonetic: str = "prefix4") -> DataFrame:
-    """Pairs of all rules, one row a pair, demoted by the negative rules."""
-    return demoted(deduplicated(all_pairs(records, rules, phonetic)), records, rules.negative_columns)
+def apply_rules(records: DataFrame, rules: RuleSet, phonetic: str = "prefix4", fresh: DataFrame | None = None) -> DataFrame:
+    """Pairs of all rules, one row a pair, demoted by the negative rules; with `fresh`, those with a fresh side."""
+    return demoted(deduplicated(all_pairs(records, rules, phonetic, fresh)), records, rules.negative_columns)
+
+
+#: How many rows each display shows.
+SHOWN = {"entities": 100, "pairs": 100, "values": 4, "evidence": 3, "columns": 6}
+
+
+def explore_pairs(pairs: DataFrame, rule_label: str | None = None, rule_type: str | None = None, limit: int = SHOWN["pairs"]) -> DataFrame:
+    """The first pairs of one rule, of one type, or of both."""
+    for column, value in (("rule_label", rule_label), ("rule_type", rule_type)):
+        if value:
+            pairs = pairs.where(F.col(column) == value)
+    return pairs.orderBy("idx_a", "idx_b").limit(limit)
+
+
+def shown_values(records: DataFrame) -> DataFrame:
+    """row_id, shown: a map of a record's columns to their values as text, without those that say that they are missing."""
+    columns = [c for c in records.columns if c != "row_id" and not c.startswith("__")]
+    cells = F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+    return records.select("row_id", F.map_filter(cells, lambda _, v: v.isNotNull() & ~F.lower(v).isin("nan", "none", "")).alias("shown"))
 
 
 def with_evidence(pairs: DataFrame, records: DataFrame, rules: RuleSet) -> DataFrame:
@@ -165,5 +205,3 @@ def record_values(records: DataFrame, exclude: tuple[str, ...] = ()) -> DataFram
     columns = [c for c in records.columns if c != "row_id" and not c.startswith("__") and c not in exclude]
     cells = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("field"), present(F.col(f"`{c}`")).alias("value")) for i, c in enumerate(columns)])
     return records.select("row_id", F.inline(cells)).where("value IS NOT NULL")
-
-

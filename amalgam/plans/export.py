@@ -55,18 +55,65 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(a, b) / longest))
 
 
+def more_similar(a: Column, b: Column, over: int) -> Column:
+    """edit_similarity(a, b) > over, with the distance given up as soon as it is too large."""
+    longest = F.greatest(F.length(a), F.length(b))
+    most = F.floor(longest * (100 - over) / 100).cast("int")
+    near = F.abs(F.length(a) - F.length(b)) <= most
+    distance = F.call_function("levenshtein", a, b, most)
+    return near & F.when(longest == 0, True).when(distance < 0, False).otherwise(100.0 * (1 - distance / longest) > over)
+
+
+def _most_edits(length: Column, over: int) -> Column:
+    """The largest distance at which two texts, the longer of this length, are more similar than `over`."""
+    return F.greatest(F.floor((length * (100 - over) + 99) / 100) - 1, F.lit(0)).cast("int")
+
+
+def _cuts(length: Column, over: int) -> tuple[Column, Column]:
+    """Into how many segments a text of this length is cut, and all of them: i, start, n.
+
+    There is one more than edits to the longest text that can be similar, so one segment has no edit in it.
+    """
+    longest = F.greatest(F.floor((100 * length + over - 1) / over) - 1, length)
+    edits = _most_edits(longest, over)
+    short, more = F.floor(length / (edits + 1)), length % (edits + 1)
+    plain = edits + 1 - more
+    one = lambda i: F.struct(i.alias("i"), (i * short + F.greatest(i - plain, F.lit(0))).cast("int").alias("start"), (short + (i >= plain).cast("int")).cast("int").alias("n"))
+    return edits, F.transform(F.sequence(F.lit(0), edits), one)
+
+
+def _segment_candidates(cut: DataFrame, column: str, over: int) -> DataFrame:
+    """(idx_a, idx_b), a < b: all pairs that can be similar in this column, for they share a segment in about its place."""
+    texts = cut.select("row_id", F.col(f"`{column}`").cast("string").alias("t")).where("t IS NOT NULL").withColumn("l", F.length("t"))
+    held = texts.withColumn("c", F.explode(_cuts(F.col("l"), over)[1])).select(F.col("row_id").alias("short"), "l", F.col("c.i").alias("i"), F.substring(F.col("t"), F.col("c.start") + 1, F.col("c.n")).alias("s"))
+    asked = texts.withColumnRenamed("l", "own").withColumn("l", F.explode(F.sequence(F.greatest(F.col("own") - _most_edits(F.col("own"), over), F.lit(0)), F.col("own"))))
+    edits, cuts = _cuts(F.col("l"), over)
+    asked = asked.withColumns({"edits": edits, "c": F.explode(cuts)})
+    lo, hi = F.greatest(F.col("c.start") - F.col("edits"), F.lit(0)), F.least(F.col("c.start") + F.col("edits"), F.col("own") - F.col("c.n"))
+    asked = asked.where(lo <= hi).withColumn("at", F.explode(F.sequence(lo, hi))).select(F.col("row_id").alias("long"), "l", F.col("c.i").alias("i"), F.substring(F.col("t"), F.col("at") + 1, F.col("c.n")).alias("s")).distinct()
+    pairs = held.join(asked, ["l", "i", "s"]).where("short <> long")
+    return pairs.select(F.least("short", "long").alias("idx_a"), F.greatest("short", "long").alias("idx_b")).distinct()
+
+
 def similar_pairs(records: DataFrame, rule: Rule) -> DataFrame:
     """Pairs a < b that the rule's YAML predicates accept: an equi-join on exact columns, the rest as residual.
 
-    Nothing but the rule narrows the pairs; one without exact columns compares every pair.
+    Without exact columns the equi-join is on segments of the first similar column, which loses no pair; a rule
+    that has neither would accept every pair and is refused.
     """
     rule = rule.on(records.columns)
     keys = rule.exact
+    similar = [(c, FUZZY_OVER) for c in rule.fuzzy] + [(c, WEIGHT_OVER) for c in rule.weights]
     cut = records.select("row_id", *dict.fromkeys([*keys, *rule.fuzzy, *rule.exact_or_null, *rule.weights]))
     a, b = cut.alias("a"), cut.alias("b")
     left, right = (lambda c: F.col(f"a.`{c}`")), (lambda c: F.col(f"b.`{c}`"))
-    on = [left(c) == right(c) for c in keys] + [left("row_id") < right("row_id")]
-    on += [edit_similarity(left(c), right(c)) > FUZZY_OVER for c in rule.fuzzy]
-    on += [edit_similarity(left(c), right(c)) > WEIGHT_OVER for c in rule.weights]
+    on = [more_similar(left(c), right(c), over) for c, over in similar]
     on += [left(c).isNull() | right(c).isNull() | (left(c) == right(c)) for c in rule.exact_or_null]
-    return a.join(b, reduce(lambda x, y: x & y, on)).select(left("row_id").alias("idx_a"), right("row_id").alias("idx_b"))
+    if keys:
+        on += [left(c) == right(c) for c in keys] + [left("row_id") < right("row_id")]
+        return a.join(b, reduce(lambda x, y: x & y, on)).select(left("row_id").alias("idx_a"), right("row_id").alias("idx_b"))
+    if not similar:
+        raise ValueError(f"{rule.uri}: without a column to compare, every pair of records would do")
+    pairs = _segment_candidates(cut, *similar[0])
+    both = pairs.join(a, F.col("idx_a") == left("row_id")).join(b, F.col("idx_b") == right("row_id"))
+    return both.where(reduce(lambda x, y: x & y, on)).select("idx_a", "idx_b")

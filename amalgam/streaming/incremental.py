@@ -10,7 +10,7 @@ from amalgam.plans.rules import RuleSet
 
 
 def match_stream(stream: DataFrame, rules: RuleSet, records_path: str, pairs_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Each micro-batch joins the stored records and itself; pairs of two stored records are not repeated.
+    """Each micro-batch joins the stored records and itself; pairs of two stored records are not made again.
 
     Batches write under their own number and overwrite it, so a batch that runs again changes nothing.
     """
@@ -20,10 +20,7 @@ def match_stream(stream: DataFrame, rules: RuleSet, records_path: str, pairs_pat
         fresh = batch.persist()
         fresh.write.mode("overwrite").parquet(f"{records_path}/batch={number}")
         every = spark.read.parquet(records_path).where(f"batch <= {number}").drop("batch")
-        pairs = apply_rules(every, rules)
-        ids = fresh.select("row_id").distinct()
-        new = pairs.join(ids.withColumnRenamed("row_id", "idx_a"), "idx_a", "left_semi").unionByName(pairs.join(ids.withColumnRenamed("row_id", "idx_b"), "idx_b", "left_semi")).dropDuplicates(["idx_a", "idx_b"])
-        new.write.mode("overwrite").parquet(f"{pairs_path}/batch={number}")
+        apply_rules(every, rules, fresh=fresh.select("row_id").distinct()).write.mode("overwrite").parquet(f"{pairs_path}/batch={number}")
         fresh.unpersist()
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
