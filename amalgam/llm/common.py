@@ -8,14 +8,13 @@ of the same columns; repeated rows are separate rows and each gets its own row o
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from amalgam.operators.graph import shared_dir
+from amalgam.operators.graph import Stages, components, shared_dir  # noqa: F401  the operators' stages and components are the engine's
 
 #: White space of the word contracts (space, tab, line feed, vertical tab, form feed, return).
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
@@ -31,33 +30,6 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
-class Stages:
-    """Tables written to the shared folder, which cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/amalgam/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def put(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        self.n += 1
-        path = f"{self.base}/{self.n:03d}-{name}"
-        writer = df.write.option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.amalgam_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete staged tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df.amalgam_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
@@ -140,31 +112,3 @@ def numbered(df: DataFrame, stages: Stages, groups: list[str], uid: str, out: st
     for k in keys:
         joined = joined.drop(offsets[k])
     return joined.withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before", "_block")
-
-
-def components(edges: DataFrame, stages: Stages, limit: int = 60) -> DataFrame:
-    """(v, c) for every vertex of `edges` (a, b longs): c is the least vertex of its component.
-
-    Each round a vertex takes the least label among its neighbours, its label's own vertex takes the least
-    that any vertex with that label has seen, and labels are replaced by their labels' labels; rounds, in
-    number about the logarithm of a component, stop when nothing changes. Minima combine before each shuffle.
-    """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stages.put(both.where("a <> b").distinct(), "edges")
-    labels = stages.put(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("v"), "c"), "labels")
-    for _ in range(limit):
-        near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "v")
-        seen = stages.put(labels.join(near, "v"), "seen")
-        hook = seen.groupBy(F.col("c").alias("v")).agg(F.min("m").alias("h"))
-        least = stages.put(seen.join(hook, "v", "left").select("v", F.col("c").alias("old"), F.least("c", "m", F.coalesce("h", "c")).alias("c")), "least")
-        up = least.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        done = stages.put(least.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")), "labels")
-        moved = done.where("c <> old").limit(1).count()
-        stages.drop(labels, seen, least)
-        path = done.amalgam_path
-        labels = done.select("v", "c")
-        labels.amalgam_path = path
-        if not moved:
-            stages.drop(both)
-            return labels
-    raise RuntimeError(f"components did not settle within {limit} rounds")
