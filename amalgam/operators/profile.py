@@ -115,11 +115,14 @@ def samples(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values"))
 
 
-def profile(df: DataFrame, null_threshold: float = 0.8) -> DataFrame:
-    """The full profile; columns with a larger share of nulls than the threshold are left out."""
+def profile(df: DataFrame, null_threshold: float = 0.8, approximate: bool = False) -> DataFrame:
+    """The full profile; columns with a larger share of nulls than the threshold are left out.
+
+    With `approximate`, distinct values are estimated by sketches, so no cell is shuffled for them.
+    """
     columns = [c for c in df.columns if c != "row_id"]
     stats = column_stats(df, columns)
-    out = stats.join(F.broadcast(distinct_counts(df, columns)), "field", "left").join(F.broadcast(samples(df, columns)), "field", "left")  # a row a column
+    out = stats.join(F.broadcast(distinct_counts(df, columns, approximate)), "field", "left").join(F.broadcast(samples(df, columns)), "field", "left")  # a row a column
     rows = F.greatest(F.col("n_rows"), F.lit(1))
     out = out.withColumns({"n_unique": F.coalesce("n_unique", F.lit(0)), "p_missing": F.round((F.col("n_rows") - F.col("n_present")) / rows, 4), "sample_values": F.coalesce("sample_values", F.array().cast("array<string>"))})
     out = out.withColumn("p_unique", F.round(F.col("n_unique") / rows, 4)).where(F.col("p_missing") <= null_threshold)
@@ -168,3 +171,9 @@ def suggest_fixes(df: DataFrame) -> DataFrame:
     cells = [F.struct(F.lit(c).alias("field"), F.lit(SUGGESTIONS[i][1]).alias("fix"), F.col(f"n{j}").alias("records"), F.lit(i in (1, 2)).alias("_some")) for j, (c, i) in enumerate(wanted)]
     found = one.select(F.inline(F.array(*cells))).where("records > 0 OR NOT _some").drop("_some")
     return found.unionByName(none.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("n"))), F.col("n") == 0).drop("n"))
+
+
+def fix_totals(suggestions: DataFrame) -> DataFrame:
+    """One row: how many fixes are suggested, and how many records they touch in all."""
+    real = suggestions.where("records > 0 OR field <> '—'")
+    return real.agg(F.count(F.lit(1)).alias("n_fixes"), F.coalesce(F.sum("records"), F.lit(0)).alias("n_records"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from amalgam.plans.rules import normalise
+
 #: Terms of each class of entity, in order of precedence; a term anywhere in the text decides.
 ENTITY_TERMS = (
     ("hcp", ("hcp", "provider", "physician", "doctor", "clinician", "practitioner", "nurse", "therapist", "dentist", "pharmacist", "prescriber")),
@@ -90,14 +93,94 @@ def classify(profile: dict[str, dict], entity: str = "") -> dict[str, dict]:
     return out
 
 
+#: Parts of column names by the kind of value to clean, for every class of entity and for each.
+CLEANING_PARTS = {
+    "phone": ("phone", "mobile", "tel", "cell", "fax"),
+    "fax": ("fax",),
+    "email": ("email", "mail", "e-mail"),
+    "date": ("dob", "birth", "date", "enumeration", "created", "updated"),
+    "address": ("address", "street", "addr", "line1", "line2"),
+    "state": ("state", "province", "region", "license_state", "lic_state"),
+    "gender": ("gender", "sex"),
+    "first": ("first", "given", "firstname", "fname"),
+    "last": ("last", "surname", "lastname", "lname"),
+    "middle": ("middle", "middlename", "mname"),
+    "org_name": ("practice", "company", "organization", "organisation", "employer", "facility", "hospital", "clinic", "business", "firm"),
+}
+CLEANING_PARTS_OF = {
+    "hcp": {"specialty": ("specialty", "speciality", "spec", "discipline"), "license": ("license", "licence", "lic_num", "licnum", "reg_num")},
+    "customer": {"loyalty": ("loyalty", "membership", "member_id", "account_no", "account_number", "customer_id", "client_id")},
+    "account": {"industry": ("industry", "sector", "sic", "naics", "vertical"), "company": ("company", "dba", "trade_name", "legal_name", "brand")},
+    "patient": {"mrn": ("mrn", "medical_record", "patient_id", "member_id"), "insurance": ("plan", "policy", "group_number", "member_number")},
+    "location": {"facility": ("facility", "site", "location", "branch", "store")},
+}
+
+
+def cleaning_hints(entity: str) -> dict[str, tuple[str, ...]]:
+    """Kind of value to parts of column names, for this class of entity."""
+    return CLEANING_PARTS | CLEANING_PARTS_OF.get(entity_class(entity), {})
+
+
+def kinds_to_clean(column: str, entity: str) -> list[str]:
+    return [kind for kind, parts in cleaning_hints(entity).items() if any(p in column.lower() for p in parts)]
+
+
+def n_primary(classified: dict[str, dict]) -> int:
+    """How many columns can lead a rule."""
+    return sum(bool(c.get("can_be_primary")) for c in classified.values())
+
+
+def analyse(profile: dict[str, dict], entity: str, classifier: SemanticClassifier = classify, cache=None) -> dict[str, dict]:
+    """Every column of the profile classified, remembered in a ResultCache if there is one; ValueError without columns."""
+    if not profile:
+        raise ValueError("the profile has no columns")
+
+    def make() -> dict:
+        found = classifier(profile, entity)
+        if not isinstance(found, dict):
+            raise ValueError("the classifier gave no columns")
+        return filled(found, list(profile))
+
+    return cache.get_or(["semantics", getattr(classifier, "__name__", ""), entity, profile], make) if cache is not None else make()
+
+
+def generate_rules(semantics: dict[str, dict], profile: dict[str, dict], entity: str, provider: RuleProvider | None = None, evidence: dict | None = None, cache=None) -> dict:
+    """A normalised rule document from a provider, remembered in a ResultCache if there is one; evidence is optional."""
+    provider = provider or propose_rules
+
+    def make() -> dict:
+        return normalise(provider(semantics, profile, entity, evidence) if evidence else provider(semantics, profile, entity), entity)
+
+    return cache.get_or(["rules", getattr(provider, "__name__", ""), entity, semantics, profile, evidence or {}], make) if cache is not None else make()
+
+
+def prompt(task: str, entity: str, **facts) -> str:
+    """What a language model is told, if one is plugged in as classifier, rule provider or adjudicator."""
+    asked = {
+        "semantics": "For each column give semantic_type, match_role and can_be_primary. Reply with one JSON object by column name.",
+        "rules": "Propose match rules. Reply with one JSON object that holds a list matchGroups.",
+        "evidence": "Propose match rules that follow the evidence first and the column roles second. Reply with one JSON object that holds a list matchGroups.",
+        "verdict": "Do the two records describe one entity? Reply with one JSON object: verdict (MATCH, SUSPECT or NO_MATCH), confidence, reasoning.",
+    }
+    lines = [f"Entity: {entity} ({entity_label(entity)})", *[f"{name}: {json.dumps(value, sort_keys=True, default=str)}" for name, value in facts.items()]]
+    return "\n".join([*lines, asked[task]])
+
+
 def filled(classified: dict[str, dict], expected: list[str]) -> dict[str, dict]:
     """Columns that a classifier passed over become unknown."""
     blank = {"semantic_type": "unknown", "match_role": "not_matchable", "can_be_primary": False}
     return {**classified, **{c: dict(blank) for c in expected if c not in classified}}
 
 
+#: From which frequency on a column in the evidence leads a rule, supports one, or may be missing in one.
+LEADS, SUPPORTS, TOLERATED = 0.85, 0.5, 0.25
+
+
 def propose_rules(semantics: dict[str, dict], profile: dict[str, dict], entity: str, evidence: dict[str, float] | None = None) -> dict:
-    """Offline rule provider: at most eight groups after the roles, and after evidence where it is strong.
+    """Offline rule provider: at most eight groups after the roles, and after evidence where there is some.
+
+    Evidence from a half on overrides a column's role: columns that lead get a rule each, columns that support get
+    one together if there are two, and weaker ones join these rules as null-tolerant columns at most.
 
     Strong identifiers match automatically; scoped ones, names and whole addresses make suspects; soft
     attributes weigh in only if nothing else is there; stable codes that are mostly present contradict.
@@ -134,9 +217,13 @@ def propose_rules(semantics: dict[str, dict], profile: dict[str, dict], entity:
     region = next((c for c in address if "state" in c.lower() or "zip" in c.lower()), None)
     if street and city and region:
         add("Address", "suspect", [street, city, region])
-    for c, share in evidence.items():
-        if share >= 0.85 and c in semantics and semantics[c]["match_role"] != "not_matchable":
-            add(f"Evidence{c.title().replace('_', '')}", "suspect", [c])
+    band = lambda lo, hi: [c for c, share in evidence.items() if c in semantics and lo <= share < hi]
+    weak = band(TOLERATED, SUPPORTS)[:2]
+    for c in band(LEADS, 2.0):
+        add(f"Evidence{c.title().replace('_', '')}", "suspect", [c], (), weak)
+    support = band(SUPPORTS, LEADS)[:3]
+    if len(support) >= 2:
+        add("EvidenceTogether", "suspect", support, (), weak)
     soft = [c for c, s in semantics.items() if s["match_role"].startswith("supporting")]
     if not groups and len(soft) >= 4:
         groups.append({"uri": f"{root}/matchGroups/MatchOnRelevance", "label": "Match on relevance", "type": "relevance_based", "scope": "ALL", "useOvOnly": "true", "scoreStandalone": 0, "scoreIncremental": 0, "rule": {"weights": [{"attribute": attribute(c), "weight": 1.0 / len(soft)} for c in soft]}})

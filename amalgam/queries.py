@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amalgam.functions import cleanse
-from amalgam.functions.text import norm, pytitle, title_case
+from amalgam.functions.text import metaphone, norm, pytitle, title_case
 from amalgam.operators import evidence, golden, match, profile, semantics, vectors
 from amalgam.operators.graph import connected_components, largest_component, shared_dir
 from amalgam.plans import export, rules
@@ -74,10 +78,9 @@ g AS (SELECT c.cluster_id, ord, field, value, count(*) AS n, min(v.row_id) AS fi
 
 
 def matched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records, pairs and clusters of the standard rules."""
+    """Records, pairs and clusters of the standard rules; clusters come from star edges, not from the pairs."""
     records = part(spark, sf)
-    pairs = match.apply_rules(records, RULES)
-    return records, pairs, golden.clusters(pairs, records)
+    return records, match.apply_rules(records, RULES), connected_components(match.star_edges(records, RULES), records)
 
 
 # ---- sources ----
@@ -96,8 +99,6 @@ def source_row_ids(spark, sf):
 @query("SELECT count(*) AS n, count(DISTINCT n_name) AS names FROM nation")
 def source_round_trip(spark, sf):
     """CSV and JSON written to the shared folder and loaded again."""
-    import uuid
-
     folder = f"{shared_dir(spark)}/round-trip-{uuid.uuid4().hex}"
     nation = table(spark, sf, "nation")
     io.write_csv(nation, f"{folder}/n.csv")
@@ -275,11 +276,6 @@ def pairs_fuzzy_prefix(spark, sf):
     return match.rule_pairs(part(spark, sf), Rule("f", "f", "suspect", exact=("p_name", "p_brand"), fuzzy=("p_type",))).select("idx_a", "idx_b")
 
 
-@query(None)
-def pairs_metaphone(spark, sf):
-    return match.rule_pairs(part(spark, sf), Rule("f", "f", "suspect", exact=("p_brand", "p_size"), fuzzy=("p_type",)), phonetic="metaphone").select("idx_a", "idx_b")
-
-
 @query(f"WITH {PAIRS} SELECT idx_a, idx_b FROM p2")
 def pairs_exact_or_null(spark, sf):
     return match.rule_pairs(part(spark, sf), R2, 1).select("idx_a", "idx_b")
@@ -512,8 +508,6 @@ def rules_edit(spark, sf):
 
 @query("SELECT * FROM (VALUES ('MatchOnMatchOnBrand', 100), ('MatchOnPartName', 85), ('MatchOnRelevance', 70)) t(name, score)")
 def rules_yaml(spark, sf):
-    import re
-
     text = export.to_yaml(rules.parse(rules.normalise(_DOCUMENT, "Part")), "Part")
     rows = list(zip(re.findall(r"_name: (MatchOn\w+)", text), map(int, re.findall(r"matchScore: (\d+)", text))))
     return spark.createDataFrame(rows, "name string, score int")
@@ -524,7 +518,7 @@ def entity_classes(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", semantics.entity_class_column(F.col("s_name")).alias("class"), semantics.entity_class_column(F.lit("Practice Site")).alias("site"), semantics.entity_class_column(F.lit("Member")).alias("member"))
 
 
-@query(None)
+@query("SELECT * FROM (VALUES ('configuration/entityTypes/Customer/matchGroups/MatchOnLicense', 'suspect', 'license'), ('configuration/entityTypes/Customer/matchGroups/MatchOnName', 'suspect', 'last_name,first_name'), ('configuration/entityTypes/Customer/matchGroups/NegativeRuleOnGender', 'suspect', 'gender')) t(uri, type, columns)")
 def proposed_rules(spark, sf):
     """The offline classifier and rule provider on a profile of parts with telling names."""
     p = part(spark, sf).withColumnsRenamed({"p_name": "last_name", "p_brand": "first_name", "p_type": "gender", "p_size": "license"})
@@ -540,6 +534,380 @@ def normalised(spark, sf):
     return p.select(F.col("p_partkey").alias("row_id"), norm(F.concat(F.lit("\u00a0 "), F.col("p_name"), F.lit(" "))).alias("name"), norm(brand).alias("brand"))
 
 
+# ---- files and documents ----
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """SQL of a table of constants."""
+
+    def one(v) -> str:
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({columns})"
+
+
+@query(_values([(0, 7, "say \"hi\"", "one\ntwo", 1.5, True), (1, 8, None, "NaN is not NA here", 2.0, False), (2, 9, "02139", "x, y", None, True)], "row_id, n, t, u, d, b").replace("VALUES", "VALUES").replace("SELECT *", "SELECT row_id::BIGINT AS row_id, n::BIGINT AS n, t, u, d::DOUBLE AS d, b"))
+def source_csv(spark, sf):
+    """Quotes, line breaks in quotes, missing values, types, and codes with leading zeros."""
+    path = f"{_folder(spark)}/a.csv"
+    io.write_text(spark, path, 'n,t,u,d,b\n7,"say ""hi""","one\ntwo",1.5,true\n8,NA,NaN is not NA here,2,false\n9,02139,"x, y",,true\n')
+    return io.with_row_id(io.load(spark, path))
+
+
+@query("SELECT 'array' AS form, i::BIGINT AS x, CASE WHEN i < 3 THEN 'v' || i END AS y, strftime(DATE '2020-01-01' + i::INT, '%Y-%m-%d') AS day FROM range(1, 4) t(i) UNION ALL SELECT 'lines', i, CASE WHEN i < 3 THEN 'v' || i END, strftime(DATE '2020-01-01' + i::INT, '%Y-%m-%d') FROM range(1, 4) t(i)")
+def source_json(spark, sf):
+    """An array of records, and a record a line; a column named like a date becomes one."""
+    folder = _folder(spark)
+    records = [{"x": i, "y": f"v{i}" if i < 3 else None, "seen_at": f"2020-01-0{1 + i} 10:00:00"} for i in range(1, 4)]
+    io.write_text(spark, f"{folder}/a.json", io.to_pretty_json(records))
+    io.write_text(spark, f"{folder}/l.json", "\n".join(json.dumps(r) for r in records))
+    parts = [io.load(spark, f"{folder}/{n}.json").select(F.lit(form).alias("form"), "x", "y", F.date_format("seen_at", "yyyy-MM-dd").alias("day")) for n, form in (("a", "array"), ("l", "lines"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(_count_sql(R1.uri, "p_brand, p_type, p_size", "p_size IS NOT NULL", "exact"))
+def sink_counts(spark, sf):
+    """Match counts written as CSV and loaded again."""
+    path = f"{_folder(spark)}/counts.csv"
+    io.write_csv(match.rule_counts(part(spark, sf), RuleSet([R1])).select(*_COUNTS), path)
+    return io.load(spark, path).select(*_COUNTS)
+
+
+@query(_values([("json", 4), ("yaml", 3)], "form, rules"))
+def sink_documents(spark, sf):
+    """Rules written as JSON and as YAML and read again."""
+    folder, document = _folder(spark), rules.normalise(_DOCUMENT, "Part")
+    io.write_json(spark, f"{folder}/rules.json", document)
+    io.write_text(spark, f"{folder}/rules.yaml", export.to_yaml(rules.parse(document), "Part"))
+    found = [("json", len(json.loads(io.read_text(spark, f"{folder}/rules.json"))["matchGroups"])), ("yaml", io.read_text(spark, f"{folder}/rules.yaml").count("SemQLMatchRule"))]
+    return spark.createDataFrame(found, "form string, rules int")
+
+
+@query(_values([("absent", 0, 0), ("made", 1, 1), ("remembered", 1, 1), ("other key", 2, 2)], "step, value, made"))
+def result_cache(spark, sf):
+    cache, made = io.ResultCache(spark, _folder(spark)), []
+
+    def make():
+        made.append(1)
+        return {"v": len(made)}
+
+    steps = [("absent", cache.get(io.content_hash(["a"])), len(made))]
+    for step, key in (("made", ["a"]), ("remembered", ["a"]), ("other key", ["b"])):
+        steps.append((step, cache.get_or(key, make), len(made)))
+    return spark.createDataFrame([(s, v["v"] if v else 0, n) for s, v, n in steps], "step string, value int, made int")
+
+
+@query(_values([("same rows", True), ("other order, no key", True), ("other order, key", False), ("other values", False)], "tables, equal"))
+def table_fingerprint(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), "n_name")
+    other = n.select((24 - F.col("row_id")).alias("row_id"), "n_name")
+    same = [("same rows", io.fingerprint(n, "row_id") == io.fingerprint(n.repartition(3), "row_id")), ("other order, no key", io.fingerprint(n.select("n_name")) == io.fingerprint(other.select("n_name")))]
+    same += [("other order, key", io.fingerprint(n, "row_id") == io.fingerprint(other, "row_id")), ("other values", io.fingerprint(n) == io.fingerprint(n.withColumn("n_name", F.lower("n_name"))))]
+    return spark.createDataFrame(same, "tables string, equal boolean")
+
+
+# ---- more of profiles and cleansers ----
+
+
+@query("SELECT 'code' AS field, true AS is_numeric_string, 0.0::DOUBLE AS p_missing UNION ALL SELECT 'name', false, 0.0::DOUBLE UNION ALL SELECT 'half', true, round(1 - count(CASE WHEN c_custkey % 2 = 0 THEN 1 END)::DOUBLE / count(*), 4) FROM customer")
+def profile_sparse(spark, sf):
+    """Columns that are nearly empty are left out; texts of digits are told from others."""
+    c, key = table(spark, sf, "customer"), F.col("c_custkey")
+    wide = c.select(key.alias("row_id"), key.cast("string").alias("code"), F.col("c_name").alias("name"), F.when(key % 2 == 0, key.cast("string")).alias("half"), F.when(key % 7 == 0, "x").alias("rare"))
+    return profile.profile(wide).select("field", "is_numeric_string", "p_missing")
+
+
+@query("SELECT 4::BIGINT AS n_fixes, (SELECT count(*) FILTER (lower(c_name) <> c_name AND upper(c_name) <> c_name) + count(*) + floor(count(*) * 0.15)::BIGINT + count(*) FILTER (c_custkey % 3 = 0) FROM customer)::BIGINT AS n_records")
+def dq_totals(spark, sf):
+    return profile.fix_totals(dq_suggest(spark, sf))
+
+
+_NAMES = [("  dr. o'brien-SMITH ", "Dr. O'Brien-Smith"), ("ANN MCDONALD", "Ann Mcdonald"), ("nan", ""), (None, ""), ("élise du PONT", "Élise Du Pont")]
+
+
+@query(_values([(i, n, (v or "").strip() if n else "", n and (v or "").strip()) for i, (v, n) in enumerate(_NAMES)], "i, name, full_name, address"))
+def clean_names(spark, sf):
+    df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(_NAMES)], "i int, v string")
+    return df.select("i", cleanse.standardise_name(F.col("v")).alias("name"), cleanse.parse_full_name(F.col("v"))["full"].alias("full_name"), cleanse.parse_address(F.col("v"))["full_address"].alias("address"))
+
+
+#: Value, ISO date, and ISO date with the day first.
+_DATES = [
+    ("15/03/1968", "1968-03-15", "1968-03-15"), ("03/04/1968", "1968-03-04", "1968-04-03"), ("20200115", "2020-01-15", "2020-01-15"), ("2020", "2020-01-01", "2020-01-01"), ("Jan 2020", "2020-01-01", "2020-01-01"),
+    ("March 5, 1990", "1990-03-05", "1990-03-05"), ("5 Mar 1990", "1990-03-05", "1990-03-05"), ("5th March 1990", "1990-03-05", "1990-03-05"), ("2020-01-05T10:11:12+02:00", "2020-01-05", "2020-05-01"), ("01/02/2020 10:11", "2020-01-02", "2020-02-01"),
+    ("05.01.2020", "2020-05-01", "2020-01-05"), ("12", "12", "12"), ("1234567890", "1234567890", "1234567890"), ("abc", "abc", "abc"), ("2020-02-30", "2020-02-30", "2020-02-30"), ("1500-01-01", "1500-01-01", "1500-01-01"), ("None", "", ""),
+]
+
+
+@query(_values([(i, *d) for i, d in enumerate(_DATES)], "i, value, iso, day_first"))
+def clean_date_forms(spark, sf):
+    df = spark.createDataFrame([(i, d[0]) for i, d in enumerate(_DATES)], "i int, value string")
+    return df.select("i", "value", cleanse.standardise_date(F.col("value")).alias("iso"), cleanse.standardise_date(F.col("value"), day_first=True).alias("day_first"))
+
+
+_ABBREVIATED = " ".join(short for short, _ in cleanse.ABBREVIATIONS if short != "PO Box")
+_EXPANDED = " ".join(full for short, full in cleanse.ABBREVIATIONS if short != "PO Box")
+
+
+@query(f"SELECT c_custkey AS row_id, c_custkey || ' {_EXPANDED} PO Box ' || c_nationkey || ' st' AS address FROM customer")
+def clean_abbreviations(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("row_id"), cleanse.expand_address(F.concat(F.col("c_custkey"), F.lit(f" {_ABBREVIATED} PO Box "), F.col("c_nationkey"), F.lit(" st"))).alias("address"))
+
+
+@query(_values([(n,) for n in ("phonenumbers", "email_validator", "usaddress", "nameparser")], "cleanser"))
+def cleansers_known(spark, sf):
+    return spark.createDataFrame([(n,) for n in cleanse.available_cleansers()], "cleanser string")
+
+
+# ---- more of pairs, clusters and golden records ----
+
+
+_PHONETIC = {"STANDARD": "STNTRT", "ECONOMY": "EKNM", "MEDIUM": "MTM", "PROMO": "PRM", "LARGE": "LRJ", "SMALL": "SML"}
+_CODE = "CASE {x} " + " ".join(f"WHEN '{w}' THEN '{c}'" for w, c in _PHONETIC.items()) + " END"
+
+
+@query(f"WITH {PART} SELECT a.row_id AS idx_a, b.row_id AS idx_b FROM r a JOIN r b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND {_CODE.format(x='a.p_type')} = {_CODE.format(x='b.p_type')} AND a.row_id < b.row_id")
+def pairs_metaphone(spark, sf):
+    return match.rule_pairs(part(spark, sf), Rule("f", "f", "suspect", exact=("p_brand", "p_size"), fuzzy=("p_type",)), phonetic="metaphone").select("idx_a", "idx_b")
+
+
+@query(f"WITH {PART} SELECT DISTINCT p_type, {_CODE.format(x='p_type')} AS code FROM r")
+def metaphone_codes(spark, sf):
+    return part(spark, sf).select("p_type").distinct().select("p_type", metaphone(F.col("p_type")).alias("code"))
+
+
+@query(f"WITH {PAIRS} SELECT idx_a, idx_b, rule_type FROM m WHERE rule_label = '{R2.label}' AND rule_type = 'suspect' ORDER BY idx_a, idx_b LIMIT 100")
+def pair_explorer(spark, sf):
+    pairs = match.apply_rules(part(spark, sf), RULES)
+    return match.explore_pairs(pairs, R2.label, "suspect").select("idx_a", "idx_b", "rule_type")
+
+
+@query(f"WITH {PART} SELECT row_id, 'p_name,p_brand,p_type' || CASE WHEN p_size IS NULL THEN '' ELSE ',p_size' END AS columns FROM r")
+def shown_values(spark, sf):
+    records = part(spark, sf).withColumns({"__entity": F.lit("e"), "nothing": F.lit(" NaN").substr(2, 3)})
+    return match.shown_values(records).select("row_id", F.array_join(F.map_keys("shown"), ",").alias("columns"))
+
+
+_GRID = """h AS (SELECT c.cluster_id, max(CASE WHEN rule_type = 'automatic' THEN 1 ELSE 0 END) AS auto, string_agg(DISTINCT rule_label, ', ' ORDER BY rule_label) AS labels FROM m JOIN c ON m.idx_a = c.row_id GROUP BY ALL),
+best AS (SELECT cluster_id, field, value FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, field ORDER BY n DESC, first_row) AS rn FROM g) WHERE rn = 1)"""
+
+
+@query(f"WITH RECURSIVE {VALUES}, {_GRID} SELECT printf('E-%06d', h.cluster_id) AS \"Entity ID\", cluster_size AS \"Cluster Size\", 'suspect' AS \"Match Type\", labels AS \"Matched By\", max(value) FILTER (field = 'p_name') AS p_name, max(value) FILTER (field = 'p_brand') AS p_brand FROM h JOIN s USING (cluster_id) JOIN best USING (cluster_id) WHERE auto = 0 AND cluster_size >= 3 GROUP BY ALL")
+def golden_grid(spark, sf):
+    records, pairs, members = matched(spark, sf)
+    rows = golden.golden_grid(golden.entities(members, pairs, None), "suspect", 3)
+    return golden.grid_view(rows, golden.survivorship(records, golden.capped(members, None)), ["p_name", "p_brand"])
+
+
+@query(f"WITH RECURSIVE {CLUSTERS}, k1 AS (SELECT cluster_id, cluster_size FROM s WHERE cluster_size > 1 ORDER BY cluster_id LIMIT 10) SELECT printf('E-%06d', cluster_id) AS entity_id, cluster_size, row_number() OVER (ORDER BY cluster_size DESC, cluster_id)::INTEGER AS place FROM k1")
+def entities_capped(spark, sf):
+    """The cap binds, and the order is part of the result."""
+    _, pairs, members = matched(spark, sf)
+    ordered = golden.entities(members, pairs, cap=10).select("entity_id", "cluster_size").collect()  # ten rows
+    return spark.createDataFrame([(r[0], r[1], i + 1) for i, r in enumerate(ordered)], "entity_id string, cluster_size long, place int")
+
+
+@query(f"WITH RECURSIVE {VALUES}, {_GRID}, f AS (SELECT cluster_id, string_agg(field || '=' || value, ';' ORDER BY CASE field WHEN 'p_name' THEN 0 WHEN 'p_brand' THEN 1 WHEN 'p_type' THEN 2 ELSE 3 END) AS fields FROM best GROUP BY ALL), i AS (SELECT cluster_id, string_agg(row_id, ',' ORDER BY row_id) AS rows FROM c GROUP BY ALL) SELECT printf('E-%06d', cluster_id) AS entity_id, CASE WHEN auto = 1 THEN 'automatic' ELSE 'suspect' END AS match_type, rows, fields FROM h JOIN f USING (cluster_id) JOIN i USING (cluster_id)")
+def golden_records(spark, sf):
+    records, pairs, members = matched(spark, sf)
+    out = golden.golden_records(records, members, pairs, cap=None)
+    return out.select("entity_id", "match_type", F.array_join(F.col("source_idxs").cast("array<string>"), ",").alias("rows"), F.array_join(F.transform("fields", lambda f: F.concat(f["field_name"], F.lit("="), f["value"])), ";").alias("fields"))
+
+
+@query(f"WITH RECURSIVE {VALUES}, one AS (SELECT min(cluster_id) AS id FROM s WHERE cluster_size > 1) SELECT (SELECT count(*) FROM c, one WHERE cluster_id = id) AS records, (SELECT count(DISTINCT field) FROM g, one WHERE cluster_id = id) AS fields, (SELECT count(*) FROM m JOIN c ON c.row_id = m.idx_a, one WHERE cluster_id = id) AS pairs")
+def entity_view(spark, sf):
+    records, pairs, members = matched(spark, sf)
+    first = golden.capped(members, None).agg(F.min("cluster_id")).first()[0]
+    view = golden.entity_360(records, members, pairs, first)
+    count = lambda n, c: view[n].agg(F.countDistinct(c).alias(n)) if n == "values" else view[n].agg(F.count(F.lit(1)).alias(n))
+    return count("records", "row_id").crossJoin(count("values", "field").withColumnRenamed("values", "fields")).crossJoin(count("pairs", "idx_a"))
+
+
+@query(f"WITH RECURSIVE {CLUSTERS} SELECT (SELECT count(*) FROM m) AS pairs, (SELECT count(DISTINCT cluster_id) FROM c) AS clusters, (SELECT count(*) FROM s WHERE cluster_size > 1) AS golden, (SELECT count(*) FROM s WHERE cluster_size = 1) AS singletons")
+def simulated(spark, sf):
+    """All of a simulation in one call."""
+    out = golden.simulate(part(spark, sf), RULES, cap=None)
+    n = lambda name, c: out[name].agg(F.countDistinct(c).alias(name))
+    return out["pairs"].agg(F.count(F.lit(1)).alias("pairs")).crossJoin(n("clusters", "cluster_id")).crossJoin(n("golden", "entity_id")).crossJoin(out["summary"].select("singletons"))
+
+
+# ---- more of vectors and evidence ----
+
+
+_SCORED = _JUDGED + ", sc AS (SELECT *, (idx_a + idx_b) % 97 / 100.0::DOUBLE AS embed_score FROM jv), b AS (SELECT *, row_number() OVER (ORDER BY embed_score DESC, idx_a, idx_b) <= 25 AS best FROM sc)"
+
+
+def scored_pairs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    records = part(spark, sf)
+    pairs = match.deduplicated(match.all_pairs(records, RULES)).select("idx_a", "idx_b")
+    return records, pairs.withColumn("embed_score", (F.col("idx_a") + F.col("idx_b")) % 97 / F.lit(100.0))
+
+
+@query(f"WITH {_SCORED} SELECT idx_a, idx_b, CASE WHEN best THEN verdict ELSE 'SUSPECT' END AS verdict, CASE WHEN best THEN round(equal / compared, 4) ELSE embed_score END AS confidence FROM b")
+def adjudicated_budget(spark, sf):
+    """Only the best 25 pairs are judged."""
+    records, pairs = scored_pairs(spark, sf)
+    return evidence.adjudicate(pairs, records, evidence.offline_adjudicator(), 25).select("idx_a", "idx_b", "verdict", "confidence")
+
+
+@query(f"WITH RECURSIVE {_SCORED}, live AS (SELECT * FROM jv WHERE verdict <> 'NO_MATCH'), e AS (SELECT idx_a AS x, idx_b AS y FROM live UNION SELECT idx_b, idx_a FROM live), w(x, y) AS (SELECT x, x FROM e UNION SELECT w.x, e.y FROM w JOIN e ON w.y = e.x), c AS (SELECT x, min(y) AS c FROM w GROUP BY x) SELECT (SELECT count(*) FROM live) AS matching_pairs, (SELECT count(DISTINCT x) FROM e) AS matching_profiles, (SELECT max(n) FROM (SELECT count(*) AS n FROM c GROUP BY c)) AS largest_cluster, count(*) FILTER (verdict = 'MATCH') AS n_match, count(*) FILTER (verdict = 'SUSPECT') AS n_suspect, count(*) FILTER (verdict = 'NO_MATCH') AS n_no_match FROM jv")
+def semantic_verdicts(spark, sf):
+    """End to end from given pairs, with verdicts on all of them."""
+    records, pairs = scored_pairs(spark, sf)
+    return evidence.semantic_matches(records, judge=evidence.offline_adjudicator(), budget=None, pairs=pairs)["summary"]
+
+
+@query(f"WITH {_COSINE} SELECT idx_a, idx_b, embed_score, 'E' || idx_a AS preview_a, 'E' || idx_b AS preview_b FROM q ORDER BY embed_score DESC, idx_a, idx_b LIMIT 50")
+def semantic_sample(spark, sf):
+    """The sample of matches that a display shows, with previews."""
+    named = embedded(spark, sf).select("row_id", F.concat(F.lit("E"), F.col("row_id")).alias("name"))
+    return evidence.semantic_matches(named, pairs=vectors.cosine_pairs(embedded(spark, sf), 0.4))["sample"].select("idx_a", "idx_b", "embed_score", "preview_a", "preview_b")
+
+
+@query(f"WITH {PART}, d AS (SELECT a.row_id AS idx_a, b.row_id AS idx_b, (a.row_id * 31) % 97 / 100.0::DOUBLE AS embed_score FROM r a JOIN r b ON b.row_id = a.row_id + 1 ORDER BY embed_score DESC, idx_a, idx_b LIMIT 50) SELECT idx_a, idx_b FROM d JOIN r a ON a.row_id = idx_a JOIN r b ON b.row_id = idx_b WHERE a.p_name <> b.p_name AND a.p_brand <> b.p_brand AND a.p_type <> b.p_type AND coalesce(a.p_size <> b.p_size, true) ORDER BY embed_score DESC, idx_a, idx_b LIMIT 10")
+def gap_sample(spark, sf):
+    records = part(spark, sf)
+    pairs = records.select(F.col("row_id").alias("idx_a"), (F.col("row_id") + 1).alias("idx_b"), (F.col("row_id") * 31 % 97 / F.lit(100.0)).alias("embed_score")).join(records.select(F.col("row_id").alias("idx_b")), "idx_b", "left_semi")
+    return evidence.gap_sample(evidence.sample_pairs(pairs), records).select("idx_a", "idx_b")
+
+
+@query(f"WITH {_EVIDENCE}, hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY idx_a, idx_b) AS k FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, idx_a, idx_b, a.{f}::VARCHAR AS a, b.{f}::VARCHAR AS b FROM jv JOIN r a ON a.row_id = idx_a JOIN r b ON b.row_id = idx_b WHERE verdict = 'MATCH'" for f in ("p_name", "p_brand", "p_type", "p_size")) + ") WHERE lower(a) = lower(b) OR substr(lower(a), 1, 4) = substr(lower(b), 1, 4)) WHERE k <= 3) SELECT field, row_number() OVER (ORDER BY frequency DESC, CASE field WHEN 'p_name' THEN 0 WHEN 'p_brand' THEN 1 WHEN 'p_type' THEN 2 ELSE 3 END)::INTEGER AS place, (SELECT string_agg(a || '~' || b || '~' || CASE WHEN lower(a) = lower(b) THEN 'exact' ELSE 'fuzzy' END, ';' ORDER BY k) FROM hit WHERE hit.field = ev.field) AS examples FROM ev")
+def evidence_examples(spark, sf):
+    """Evidence in its order, with the first examples of each field."""
+    records, pairs = judged(spark, sf)
+    shown = evidence.field_evidence(pairs, records).select("field", F.array_join(F.transform("examples", lambda e: F.concat_ws("~", e["a"], e["b"], e["type"])), ";").alias("examples")).collect()  # a row a column
+    return spark.createDataFrame([(r[0], i + 1, r[1]) for i, r in enumerate(shown)], "field string, place int, examples string")
+
+
+@query(_values([("first", "tfidf", 3), ("fallback", "tfidf", 3), ("none", "none", 0), ("memo", "tfidf", 3)], "case_, name, rows"))
+def embedding_backends(spark, sf):
+    """The first embedder that works; none; and a remembered table."""
+    texts = spark.createDataFrame([(0, "red ring"), (1, "red bolt"), (2, None)], "row_id long, text string")
+
+    class Broken(vectors.Embedder):
+        name = "broken"
+
+        def embed(self, texts):
+            raise ValueError("no model")
+
+    memo = vectors.EmbeddingMemo(vectors.Embedder())
+    cases = [("first", vectors.FallbackEmbedder(None, vectors.Embedder())), ("fallback", vectors.FallbackEmbedder(Broken(), vectors.Embedder())), ("none", vectors.FallbackEmbedder(None)), ("memo", memo)]
+    rows = []
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for case, embedder in cases:
+            found = embedder.embed(texts)
+            if case == "memo":
+                found = memo.embed(texts) if memo.embed(texts) is memo.embed(texts) else None
+            rows.append((case, embedder.name, 0 if found is None else found.count()))
+    return spark.createDataFrame(rows, "case_ string, name string, rows long")
+
+
+# ---- more of rule documents ----
+
+
+_ANSWERS = [
+    ('```json\n{"a": 1}\n```', '{"a": 1}', "SUSPECT", 0.5), ("{“verdict”: “MATCH”, “confidence”: 0.9,}", '{"confidence": 0.9, "verdict": "MATCH"}', "MATCH", 0.8), ('so: {"a": [1, 2,], "b": None} ok', '{"a": [1, 2], "b": null}', "NO_MATCH", 0.5),
+    ('{"a": [1, {"b": True', '{"a": [1, {"b": true}]}', "NO_MATCH", 0.5), ('{"a": "x\ny"}', '{"a": "x\\ny"}', "NO_MATCH", 0.5), ("it is a SUSPECT, no NO_MATCH", None, "SUSPECT", 0.6), ("NO_MATCH, not a MATCH", None, "NO_MATCH", 0.5), ('{"verdict": "NO_MATCH", "confidence": 0.7}', '{"confidence": 0.7, "verdict": "NO_MATCH"}', "NO_MATCH", 0.7),
+]
+
+
+@query(_values([(i, *a[1:]) for i, a in enumerate(_ANSWERS)], "i, document, verdict, confidence").replace("SELECT *", "SELECT i, document, verdict, confidence::DOUBLE AS confidence"))
+def answers_parsed(spark, sf):
+    """Documents and verdicts in answers of language models, mended where that can be done."""
+
+    def document(text):
+        try:
+            return json.dumps(rules.parse_json(text), sort_keys=True)
+        except ValueError:
+            return None
+
+    rows = [(i, document(a[0]), v["verdict"], float(v["confidence"])) for i, a in enumerate(_ANSWERS) for v in [rules.parse_verdict(a[0])]]
+    return spark.createDataFrame(rows, "i int, document string, verdict string, confidence double")
+
+
+_BROKEN = [({}, "list"), ({"matchGroups": 3}, "list"), ({"matchGroups": [{"type": "suspect"}]}, "neither"), ({"matchGroups": [{"uri": "u", "label": "l"}]}, "no rule")]
+
+
+@query(_values([(i, w) for i, (_, w) in enumerate(_BROKEN)], "i, reason"))
+def rules_refused(spark, sf):
+    rows = []
+    for i, (document, word) in enumerate(_BROKEN):
+        try:
+            rules.normalise(document, "Part")
+            rows.append((i, "accepted"))
+        except ValueError as error:
+            rows.append((i, word if word in str(error) else str(error)))
+    return spark.createDataFrame(rows, "i int, reason string")
+
+
+@query(_values([("automatic", 1), ("suspect", 1), ("relevance_based", 1), ("negative", 1)], "kind, n"))
+def rule_tallies(spark, sf):
+    return spark.createDataFrame(list(rules.tallies(rules.normalise(_DOCUMENT, "Part")).items()), "kind string, n int")
+
+
+@query(_values([(0, "3 out"), (1, "scope"), (2, "4"), (3, "nothing")], "i, reply"))
+def edit_replies(spark, sf):
+    """What edits say and do, newest first."""
+    document = {"matchGroups": [{"type": "relevance_based", "label": "x"}] * 3 + [{"type": "automatic", "label": "y"}]}
+    said = [rules.edit(document, s)[1] for s in ("fly", "how many", "scope internal", "no relevance")]
+    words = ["3 out", "scope", "4", "nothing"]
+    return spark.createDataFrame([(i, w if w in reply else reply) for i, (w, reply) in enumerate(zip(words, rules.newest_first(said)))], "i int, reply string")
+
+
+@query(_values([("MatchOnMatchOnBrand", 'Record1.p_brand = Record2.p_brand'), ("MatchOnPartName", "SEM_EDIT_DISTANCE_SIMILARITY(Record1.p_name, Record2.p_name) > 80"), ("MatchOnRelevance", "SEM_EDIT_DISTANCE_SIMILARITY(Record1.p_type, Record2.p_type) > 75")], "name, condition"))
+def rules_yaml_conditions(spark, sf):
+    text = export.to_yaml(rules.parse(rules.normalise(_DOCUMENT, "Part")), "Part")
+    return spark.createDataFrame(re.findall(r"_name: (MatchOn\w+)\n(?:.*\n)*?\s+condition: >-\n\s+(.*)", text), "name string, condition string")
+
+
+_ENTITIES = [("Physician", "hcp", "Healthcare Provider (HCP)", "gender,npi", "specialty"), ("loyalty member", "customer", "Customer / Consumer", "gender,dob", "loyalty"), ("Vendor", "account", "Account / Organization", "ein,duns", "industry"), ("Enrollee", "patient", "Patient / Member", "gender,dob", "mrn"), ("Practice Site", "location", "Location / Facility", "facility_type,state", "facility"), ("Widget", "generic", "Generic Entity", "gender,dob", None)]
+
+
+@query(_values(_ENTITIES, "entity, class, label, negative, own_hint"))
+def entity_guides(spark, sf):
+    """Class, name, fields that contradict, and what only this class cleans."""
+    rows = [(e, semantics.entity_class(e), semantics.entity_label(e), ",".join(semantics.negative_guidance(e)), next((k for k in semantics.cleaning_hints(e) if k not in semantics.CLEANING_PARTS), None)) for e, *_ in _ENTITIES]
+    return spark.createDataFrame(rows, "entity string, class string, label string, negative string, own_hint string")
+
+
+@query(_values([("license", "license"), ("home_phone", "phone"), ("cell_fax", "phone,fax"), ("first_name", "first"), ("quantity", "")], "column_, kinds"))
+def cleaning_hints(spark, sf):
+    names = ("license", "home_phone", "cell_fax", "first_name", "quantity")
+    return spark.createDataFrame([(n, ",".join(semantics.kinds_to_clean(n, "HCP"))) for n in names], "column_ string, kinds string")
+
+
+@query(_values([("customer_note", "free_text", False), ("last_name", "person_name", True), ("npi", "strong_identifier", True), ("passed_over", "unknown", False)], "column_, semantic_type, can_be_primary").replace("SELECT *", "SELECT *, 2 AS n_primary, 1 AS calls"))
+def semantic_analysis(spark, sf):
+    """A classifier that passes a column over, asked twice through a cache."""
+    calls = []
+
+    def classifier(facts, entity):
+        calls.append(entity)
+        return {c: v for c, v in semantics.classify(facts, entity).items() if c != "passed_over"}
+
+    cache, facts = io.ResultCache(spark, _folder(spark)), {c: {"p_missing": 0.0} for c in ("npi", "last_name", "customer_note", "passed_over")}
+    found = [semantics.analyse(facts, "HCP", classifier, cache) for _ in range(2)][1]
+    rows = [(c, v["semantic_type"], v["can_be_primary"], semantics.n_primary(found), len(calls)) for c, v in found.items()]
+    return spark.createDataFrame(rows, "column_ string, semantic_type string, can_be_primary boolean, n_primary int, calls int")
+
+
+_BY_EVIDENCE = {"last_name": 0.9, "note": 0.7, "city": 0.6, "shoe": 0.3, "hat": 0.1}
+
+
+@query(_values([("MatchOnEvidenceLastName", "last_name", "shoe"), ("MatchOnEvidenceTogether", "note,city", "shoe")], "name, exact, tolerated"))
+def rules_by_evidence(spark, sf):
+    """Evidence from .85 leads, from .50 supports whatever the role, from .25 is tolerated; less does not count."""
+    facts = {c: {"p_missing": 0.0} for c in _BY_EVIDENCE}
+    found = rules.parse(semantics.generate_rules(semantics.classify(facts), facts, "Widget", evidence=_BY_EVIDENCE)).rules
+    return spark.createDataFrame([(rules.column_of(r.uri), ",".join(r.exact), ",".join(r.exact_or_null)) for r in found], "name string, exact string, tolerated string")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: rules to pairs, clusters and golden records."""
     records, pairs, members = matched(spark, "/root/testdata/sf0.001")
