@@ -7,16 +7,20 @@ in shape with at least seven digits. Loopy sum-product messages make labels agre
 token with enough belief becomes a span unless a base span holds it. Skip edges join each occurrence to
 the next only, so a token that repeats n times costs n edges.
 
-Weights are fitted on the base spans as teacher, on at most SAMPLE documents: of those with the least hash.
+Unary and pair potentials are fitted together, by pseudo-likelihood with the base spans as teacher, on the
+whole texts of at most SAMPLE documents: those with the least hash, repeated rows once. Tokens that are alike
+in features, label and neighbours' labels are one example with a count; EXAMPLES bounds how many of these the
+driver takes, those with the least hash.
 
 Cases: a null text is empty; repeated rows give repeated results; without any base span in the sample
-the field adds nothing.
+the field adds nothing; a text of any length is read whole, in training and in use.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +33,13 @@ from pyspark.sql import functions as F
 from amalgam.llm.common import Stages, read
 
 SAMPLE = 5_000
-TOKENS_EACH = 300
+EXAMPLES = 50_000
 BELIEF = 0.95
-ROUNDS = 8
+#: Rounds of messages at most, and the change of a message below which they end.
+ROUNDS = 60
+SETTLED = 1e-3
+#: Bound on each log potential of a pair of labels.
+MOST_AGREEMENT = 2.0
 LABELS = ("O", "email", "ip", "card", "phone")
 KINDS = LABELS[1:]
 
@@ -95,11 +103,10 @@ class Token:
 
 
 def _shape(s: str) -> str:
-    s = re.sub(r"[^\W\d_]+", "a", s)
-    return re.sub(r"[0-9]+", "9", s)[:24]
+    return re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", s))
 
 
-def tokens(text: str, limit: int | None = None) -> list[Token]:
+def tokens(text: str) -> list[Token]:
     out: list[Token] = []
     for m in _TOKEN.finditer(text):
         raw = m.group()
@@ -111,16 +118,15 @@ def tokens(text: str, limit: int | None = None) -> list[Token]:
         t.end = t.start + len(t.core)
         digits = _digits(t.core)
         n = len(digits)
-        t.features = [f"shape {_shape(t.core)}", f"digits {n if n < 8 else 8 if n < 10 else 10 if n < 12 else 12 if n < 16 else 16 if n < 20 else 20}", f"at {min(2, t.core.count('@'))} {'.' in t.core}", f"dots {min(4, t.core.count('.'))}", f"plus {t.core[:1] == '+'}", f"letters {bool(re.search('[A-Za-z]', t.core))}", "one"]
+        shape = _shape(t.core)
+        t.features = [f"shape {shape[:24]}", f"digits {n if n < 8 else 8 if n < 10 else 10 if n < 12 else 12 if n < 16 else 16 if n < 20 else 20}", f"at {min(2, t.core.count('@'))} {'.' in t.core}", f"dots {min(4, t.core.count('.'))}", f"plus {t.core[:1] == '+'}", f"letters {bool(re.search('[A-Za-z]', t.core))}", "one"]
         if 13 <= n <= 19:
             t.features.append(f"luhn {luhn(digits)}")
         if t.core.count(".") == 3:
             parts = t.core.split(".")
             t.features.append(f"octets {all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) < 256 for p in parts)}")
-        t.key = t.core.lower() if n < 7 else f"{_shape(t.core)} {n}"
+        t.key = t.core.lower() if n < 7 else f"{shape} {n}"
         out.append(t)
-        if limit and len(out) >= limit:
-            break
     for a, b in zip(out, out[1:]):
         if b.token_start - a.token_end == 1:
             a.features.append("next " + b.features[0])
@@ -148,7 +154,10 @@ class Field:
         self.names, self.unary, self.chain, self.skip = names, unary, chain, skip
 
     def beliefs(self, ts: list[Token], rounds: int = ROUNDS) -> np.ndarray:
-        """Marginals by loopy sum-product in the log domain, all messages at once, damped by half."""
+        """Marginals by loopy sum-product in the log domain, all messages at once, until they settle.
+
+        Chains alone are trees, where messages are exact; with skip edges messages are damped by half.
+        """
         score = np.array([self.unary[[self.names[f] for f in t.features if f in self.names]].sum(axis=0) for t in ts])
         chain, skip = _edges(ts)
         if chain or skip:
@@ -156,14 +165,19 @@ class Field:
             b = np.array([e[1] for e in chain + skip])
             pair = np.concatenate([np.broadcast_to(self.chain, (len(chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(skip), *self.skip.shape))])
             to_b, to_a = np.zeros((len(a), len(LABELS))), np.zeros((len(a), len(LABELS)))
-            for _ in range(rounds):
+            keep = 0.5 if skip else 0.0
+            for _ in range(max(rounds, len(chain) + 1 if not skip else 0)):
                 total = score.copy()
                 np.add.at(total, b, to_b)
                 np.add.at(total, a, to_a)
                 new_b = _log_sum((total[a] - to_a)[:, :, None] + pair, 1)
                 new_a = _log_sum((total[b] - to_b)[:, None, :] + pair, 2)
-                to_b = (to_b + new_b - new_b.max(axis=1, keepdims=True)) / 2
-                to_a = (to_a + new_a - new_a.max(axis=1, keepdims=True)) / 2
+                new_b = keep * to_b + (1 - keep) * (new_b - new_b.max(axis=1, keepdims=True))
+                new_a = keep * to_a + (1 - keep) * (new_a - new_a.max(axis=1, keepdims=True))
+                moved = max(np.abs(new_b - to_b).max(), np.abs(new_a - to_a).max())
+                to_b, to_a = new_b, new_a
+                if moved < SETTLED:
+                    break
             np.add.at(score, b, to_b)
             np.add.at(score, a, to_a)
         p = np.exp(score - score.max(axis=1, keepdims=True))
@@ -204,76 +218,93 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def _teacher(ts: list[Token], base: list[tuple[str, int, int]]) -> list[int]:
+    """The label of each token: that of the first base span, in their order, that it overlaps."""
     out = [0] * len(ts)
+    ends = [t.token_end for t in ts]
     for kind, s, e in base:
-        for i, t in enumerate(ts):
-            if t.token_start < e and s < t.token_end and not out[i]:
-                out[i] = LABELS.index(kind)
+        i = bisect_right(ends, s)
+        while i < len(ts) and ts[i].token_start < e:
+            out[i] = out[i] or LABELS.index(kind)
+            i += 1
     return out
 
 
+_EXAMPLE = ("features", "label", "left", "right", "skips")
+
+
 def _examples(docs: DataFrame) -> DataFrame:
-    """One row a token: its document, features, label, and its edges to earlier tokens."""
+    """One row a kind of token, with its count: features, label, labels beside it, and labels across skip edges."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for d, text in zip(f["doc"], f["text"]):
-                ts = tokens(text or "", TOKENS_EACH)
-                labels = _teacher(ts, base_spans(text[: ts[-1].token_end + 40]) if ts else [])
+            counts: Counter = Counter()
+            for text in f["text"]:
+                ts = tokens(text or "")
+                labels = _teacher(ts, base_spans(text))
                 chain, skip = _edges(ts)
-                for i, (t, y) in enumerate(zip(ts, labels)):
-                    rows.append((d, i, t.features, y, [a for a, b in chain if b == i], [a for a, b in skip if b == i]))
-            yield pd.DataFrame(rows, columns=["doc", "i", "features", "label", "chain", "skip"])
-
-    return docs.mapInPandas(run, "doc long, i int, features array<string>, label int, chain array<int>, skip array<int>")
-
-
-def _agreement(pairs: Counter, prior: np.ndarray, most: float) -> np.ndarray:
-    """Log of how much likelier two labels are together than apart, smoothed and bounded."""
-    both = np.full((len(LABELS), len(LABELS)), 0.0)
-    for (a, b), n in pairs.items():
-        both[a, b] += n
-    apart = np.outer(prior, prior)
-    total = both.sum()
-    together = (both + 20 * apart) / (total + 20)
-    return np.clip(np.log(together) - np.log(apart), -most, most)
-
-
-def train(docs: DataFrame, stages: Stages, sample: int = SAMPLE) -> Field:
-    """docs (doc_id, text); the base spans of at most `sample` documents teach the field."""
+                left, right = dict.fromkeys(range(len(ts)), -1), dict.fromkeys(range(len(ts)), -1)
+                across: dict[int, list[int]] = {}
+                for a, b in chain:
+                    right[a], left[b] = labels[b], labels[a]
+                for a, b in skip:
+                    across.setdefault(a, []).append(labels[b])
+                    across.setdefault(b, []).append(labels[a])
+                counts.update(("\n".join(t.features), y, left[i], right[i], "".join(map(str, sorted(across.get(i, []))))) for i, (t, y) in enumerate(zip(ts, labels)))
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=[*_EXAMPLE, "n"])
+
+    each = docs.mapInPandas(run, "features string, label int, left int, right int, skips string, n long")
+    return each.groupBy(*_EXAMPLE).agg(F.sum("n").alias("n"))
+
+
+def _fitted(examples: list, rounds: int = 150) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Unary, chain and skip log potentials by accelerated gradient steps on the convex pseudo-likelihood."""
+    seen = Counter()
+    for r in examples:
+        for f in set(r["features"].split("\n")):
+            seen[f] += r["n"]
+    names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 3))}
+    k, many = len(LABELS), np.array([r["n"] for r in examples], dtype=float)
+    rows = [[names[f] for f in r["features"].split("\n") if f in names] for r in examples]
+    slots = np.full((len(rows), max(map(len, rows), default=0) + 1), len(names))  # the last weight is no feature's and stays 0
+    for i, own in enumerate(rows):
+        slots[i, : len(own)] = own
+    eye = np.eye(k + 1)[:, :k]  # -1, nobody there, is a row of zeros
+    left, right = eye[[r["left"] for r in examples]], eye[[r["right"] for r in examples]]
+    skips = np.array([np.bincount([int(c) for c in r["skips"]], minlength=k)[:k] for r in examples], dtype=float)
+    goal = np.eye(k)[[r["label"] for r in examples]]
+    each = np.maximum(1, np.bincount(slots.ravel(), weights=np.repeat(many, slots.shape[1]), minlength=len(names) + 1))[:, None]
+    n_chain, n_skip = max(1, (many * (left.sum(1) + right.sum(1))).sum()), max(1, (many * skips.sum(1)).sum())
+    w, chain, skip = np.zeros((len(names) + 1, k)), np.zeros((k, k)), np.zeros((k, k))
+    speeds = [np.zeros_like(x) for x in (w, chain, skip)]
+    for _ in range(rounds):
+        u, c, s = (x + 0.9 * v for x, v in zip((w, chain, skip), speeds))
+        score = u[slots].sum(axis=1) + left @ c + right @ c.T + skips @ s
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        off = (p / p.sum(axis=1, keepdims=True) - goal) * many[:, None]
+        g_w = np.column_stack([np.bincount(slots.ravel(), weights=np.repeat(off[:, y], slots.shape[1]), minlength=len(names) + 1) for y in range(k)])
+        g_c, g_s = left.T @ off + (right.T @ off).T, skips.T @ off
+        grads = (g_w / each / 4 + 0.002 * w, g_c / n_chain + 0.002 * chain, (g_s + g_s.T) / 2 / n_skip + 0.002 * skip)
+        speeds = [0.9 * v - 0.5 * g for v, g in zip(speeds, grads)]
+        w, chain, skip = (x + v for x, v in zip((w, chain, skip), speeds))
+        w[-1] = 0
+        chain, skip = np.clip(chain, -MOST_AGREEMENT, MOST_AGREEMENT), np.clip(skip, -MOST_AGREEMENT, MOST_AGREEMENT)
+    return names, w[:-1], chain, skip
+
+
+def train(docs: DataFrame, stages: Stages, sample: int = SAMPLE, examples: int = EXAMPLES) -> Field:
+    """docs (doc_id, text); the base spans of at most `sample` documents teach the field, by at most `examples` kinds of token."""
     keyed = docs.where("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("doc"), "text")
-    chosen = keyed.select("doc").orderBy("doc").limit(sample)
-    some = stages.put(keyed.join(F.broadcast(chosen.distinct()), "doc"), "sample")
-    rows = _examples(some).orderBy("doc", "i").limit(sample * 20).collect()
-    counts = Counter(f for r in rows for f in set(r["features"]))
-    names = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= 3))}
-    n_labels = len(LABELS)
-    if not rows or not any(r["label"] for r in rows):
-        return Field({}, np.zeros((0, n_labels)), np.zeros((n_labels, n_labels)), np.zeros((n_labels, n_labels)))
-    y = np.array([r["label"] for r in rows])
-    at = np.array([(i, names[f]) for i, r in enumerate(rows) for f in r["features"] if f in names])
-    w = np.zeros((len(names), n_labels))
-    goal = np.eye(n_labels)[y]
-    speed = np.zeros_like(w)
-    for _ in range(150):  # accelerated gradient steps on the convex multinomial loss
-        s = np.zeros((len(rows), n_labels))
-        np.add.at(s, at[:, 0], (w + 0.9 * speed)[at[:, 1]])
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        grad = np.zeros_like(w)
-        np.add.at(grad, at[:, 1], (p - goal)[at[:, 0]])
-        speed = 0.9 * speed - 0.5 * (grad / np.maximum(1, np.bincount(at[:, 1], minlength=len(names)))[:, None] / 4 + 0.002 * w)
-        w = w + speed
-    prior = (np.bincount(y, minlength=n_labels) + 1) / (len(y) + n_labels)
-    by = {(r["doc"], r["i"]): r["label"] for r in rows}
-    chain, skip = Counter(), Counter()
-    for r in rows:
-        for e, c in ((r["chain"], chain), (r["skip"], skip)):
-            for a in e:
-                if (r["doc"], a) in by:
-                    c[(by[(r["doc"], a)], r["label"])] += 1
-    return Field(names, w, _agreement(chain, prior, 2.0), _agreement(skip, prior, 2.0))
+    share = 4 * sample / max(1, docs.count())  # rows that are worth sorting: about four times the sample
+    low = keyed.select("doc")
+    if share < 1:
+        low = low.where(F.col("doc") < int(-(2**63) + share * 2**64))
+    chosen = stages.put(low.distinct().orderBy("doc").limit(sample), "chosen")
+    some = stages.put(keyed.join(F.broadcast(chosen), "doc").dropDuplicates(["doc"]), "sample")
+    rows = _examples(some).orderBy(F.xxhash64(*_EXAMPLE), *_EXAMPLE).limit(examples).collect()
+    k = len(LABELS)
+    if not any(r["label"] for r in rows):
+        return Field({}, np.zeros((0, k)), np.zeros((k, k)), np.zeros((k, k)))
+    return Field(*_fitted(rows))
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:

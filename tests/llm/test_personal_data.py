@@ -110,3 +110,60 @@ def test_skip_edges_beside_a_chain_elsewhere():
 
 def test_redaction():
     assert P.redact("a b@c.de f 1.2.3.4", [("email", 2, 8), ("ip", 11, 18)]) == "a <EMAIL> f <IP>"
+
+
+def enumerated(field, ts):
+    """Exact marginals: every labelling of the tokens, weighed."""
+    import itertools
+
+    import numpy as np
+
+    chain, skip = P._edges(ts)
+    unary = [sum((field.unary[field.names[f]] for f in t.features if f in field.names), np.zeros(5)) for t in ts]
+    out = np.zeros((len(ts), 5))
+    for labels in itertools.product(range(5), repeat=len(ts)):
+        score = sum(u[y] for u, y in zip(unary, labels)) + sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a], labels[b]] for a, b in skip)
+        for i, y in enumerate(labels):
+            out[i, y] += np.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("loops", [False, True])
+def test_beliefs_against_enumeration(loops):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    texts = ("1 22 333 4444 5", "7 x 7 y 7", "12 13 x 12 z") if not loops else ("1 2 x 1 2", "5 6 7 x 5 6 7")
+    for text in texts:
+        ts = P.tokens(text)
+        names = {f: i for i, f in enumerate(sorted({f for t in ts for f in t.features}))}
+        skip = rng.normal(size=(5, 5)) * (0.4 if loops else 1)
+        field = P.Field(names, rng.normal(size=(len(names), 5)) * 0.3, rng.normal(size=(5, 5)) * (0.4 if loops else 1), skip + skip.T)
+        got, want = field.beliefs(ts), enumerated(field, ts)
+        assert np.abs(got - want).max() < (0.08 if loops else 0.01), (text, got, want)
+
+
+def test_repeats_pull_a_doubtful_token_along(field):
+    import numpy as np
+
+    agree = P.Field(field.names, field.unary, field.chain, np.eye(5) * 2)
+    text = "phone +1 (455) 555-1234 and later" + " words" * 500 + " 555-1234 once more 555-1234"
+    ts = P.tokens(text)
+    alone, linked = P.Field(field.names, field.unary, field.chain, np.zeros((5, 5))).beliefs(ts), agree.beliefs(ts)
+    last = [i for i, t in enumerate(ts) if t.core == "555-1234"]
+    assert np.ptp(linked[last].argmax(axis=1)) == 0
+    top = alone[last].mean(axis=0).argmax()
+    assert linked[last][:, top].min() >= alone[last][:, top].min()
+
+
+def test_training_reads_whole_texts_and_repeats_once(spark):
+    """A kind that stands after thousands of other tokens teaches the field, however often another row is repeated."""
+    from amalgam.llm.common import Stages
+
+    rng = random.Random(2)
+    late = [(i, " ".join(str(rng.randint(10, 99)) for _ in range(400)) + f" write to u{i}@mail.example") for i in range(30)]
+    same = [(1000, "call +1 (455) 555-1234 now")] * 500
+    field = P.train(spark.createDataFrame(late + same, "doc_id long, text string"), Stages(spark, "t"), sample=40)
+    assert any(f.startswith("at 1") for f in field.names)
+    assert field.beliefs(P.tokens("ask u7@mail.example"))[0].argmax() == P.LABELS.index("email")
+    assert P.tokens("a" + "1b" * 40 + " x")[0].key != P.tokens("a" + "1b" * 40 + "1c x")[0].key
