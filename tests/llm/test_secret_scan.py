@@ -60,6 +60,24 @@ def test_ownership(spark, tmp_path):
     assert got == {**{i: (1, 0, 0) for i in range(5)}, 9: (0, 1, 0), 10: (0, 1, 0)}
 
 
+def test_ownership_decides_which_spans_are_added(spark, tmp_path):
+    mine, long, example = "q1w2e3r4t5y6u7", "z9" * 60 + "abcdef", "a1b2c3d4e5f6a7"
+    rows = [(i, f"see https://bob:{example}@h.org now", "en", f"s{i}") for i in range(4)]
+    rows += [(10, f"db postgres://u:{mine}@h/x", "en", "mine"), (11, f"db postgres://{'u' * 90}:{long}@h/x", "de", "mine")]
+    rows += [(20, f"password={example}", "fr", "other")]  # the same value as in the addresses: one secret of five owners
+    rows += [(30, "a://b:r1s2t3u4v5w6x7@c", f"l{i}", "spread") for i in range(3)]  # one owner, but too many repositories
+    rows += [(40, "password=k1l2m3n4o5p6", "en", "x"), (40, "password=a9b8c7d6e5f4", "en", "x"), *[(50 + i, "password=a9b8c7d6e5f4", "en", f"y{i}") for i in range(3)]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in S.op8_secrets(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.spans, r.n_copied, r.n_live, r.n_shared, r.most_owners, r.most_repositories))
+    assert all(got[i] == [("", 1, 0, 0, 5, 5)] for i in range(4))
+    assert got[10] == [("url:11:30", 0, 1, 0, 1, 1)] and got[11][0][0].startswith("url:11:") and got[11][0][2] == 1
+    assert got[20] == [("assign:0:23", 1, 0, 0, 5, 5)]
+    assert got[30] == [("", 0, 0, 1, 1, 3)] * 3
+    assert sorted(got[40]) == [("assign:0:21", 0, 1, 0, 1, 1), ("assign:0:21", 1, 0, 0, 4, 4)]
+
+
 def test_no_python_on_the_executors(spark):
     plan = S.op8_secrets(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
