@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amalgam.llm.common import Stages, read
-from amalgam.llm.topk import usable
+from amalgam.llm.planes import Tree, matrix, usable
 
 K = 20
 EVERY = 20
@@ -44,45 +44,6 @@ _ROWS = "block long, kind int, payload binary, moved long"
 _STATE, _MESSAGE, _LISTS = 0, 1, 2
 
 
-class Tree:
-    """Hyperplanes that halve the sample, level by level."""
-
-    def __init__(self, x: np.ndarray, depth: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.planes: dict[int, tuple[np.ndarray, float]] = {}
-        parts = {1: np.arange(len(x))}
-        for _ in range(depth):
-            after = {}
-            for node, rows in parts.items():
-                a, b = x[rng.choice(rows, 2, replace=len(rows) < 2)] if len(rows) else (np.ones(x.shape[1]), np.zeros(x.shape[1]))
-                d = a - b if (a != b).any() else rng.normal(size=x.shape[1])
-                p = x[rows] @ d
-                cut = float(np.median(p)) if len(rows) else 0.0
-                self.planes[node] = (d, cut)
-                after |= {2 * node: rows[p <= cut], 2 * node + 1: rows[p > cut]}
-            parts = after
-
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        at = np.ones(len(x), dtype=np.int64)
-        while True:
-            moved = False
-            for node in np.unique(at):
-                if int(node) in self.planes:
-                    d, cut = self.planes[int(node)]
-                    on = at == node
-                    at[on] = 2 * node + (x[on] @ d > cut)
-                    moved = True
-            if not moved:
-                return at
-
-
-def _matrix(vectors, dim: int) -> np.ndarray:
-    x = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        x[i, : len(v)] = v
-    return x
-
-
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
     """One more component, so that all rows are equally long."""
     more = np.sqrt(np.maximum(0, longest**2 - (x * x).sum(axis=1)))
@@ -279,7 +240,7 @@ def build(nodes: DataFrame, stages: Stages, dim: int, longest: float, degree: in
 
     def start(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
-        x = _matrix(frame["vector"].to_numpy(), dim)
+        x = matrix(frame["vector"].to_numpy(), dim)
         flat = lifted(x, longest)
         state = {"x": flat, "raw": x, "node": frame["node"].to_numpy(np.int64), "asked": frame["asked"].to_numpy(bool), **_start(int(key[0]), flat, *table.value, degree)}
         return pd.DataFrame([_row(key[0], _STATE, state)], columns=["block", "kind", "payload", "moved"])
@@ -433,11 +394,11 @@ def nearest(points: DataFrame, stages: Stages, is_query, k: int = K, block: int
     some = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vector").collect()
     depth = max(0, int(np.ceil(np.log2(max(1, n / block)))))
     depth = min(depth, max(0, int(np.log2(max(1, len(some) / 4)))))
-    tree = nodes.sparkSession.sparkContext.broadcast(Tree(_matrix([r["vector"] for r in some], dim), depth))
+    tree = nodes.sparkSession.sparkContext.broadcast(Tree(matrix([r["vector"] for r in some], dim), depth))
 
     def leaf(frames):
         for f in frames:
-            yield f.assign(leaf=tree.value.leaves(_matrix(f["vector"].to_numpy(), dim)))
+            yield f.assign(leaf=tree.value.leaves(matrix(f["vector"].to_numpy(), dim)))
 
     dealt = stages.put(nodes.select("node", "vector", "asked").mapInPandas(leaf, "node long, vector array<double>, asked boolean, leaf long"), "leaves")
     parts = dealt.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (1.5 * block)).cast("long").alias("parts"))

@@ -47,3 +47,34 @@ def test_odd_vectors_and_none(spark, no_documents, tmp_path):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.op10_topk(spark, str(tmp_path)).collect())
     assert [g[:3] for g in got] == [(0, 1, 4), (0, 2, 4), (0, 3, 50), (50, 1, 0), (50, 2, 4), (50, 3, 4)]
     assert topk.op10_topk(spark, no_documents).count() == 0
+
+
+def test_large_whole_numbers_are_exact(spark, tmp_path):
+    """Products beyond 2**53 differ in their last digits; beyond long they are given as its bound, in exact order."""
+    big = float(1 << 22)
+    data = [(0, [big, 1.0]), (1, [big * 4, 1.0]), (2, [big * 4, 2.0]), (3, [big * 4, 3.0]), (4, [-big * 4, 0.0]), (50, [2.0**40, 0.0]), (51, [2.0**60, 0.5]), (52, [2.0**60, -0.5])]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    whole = {i: [int(np.floor(256 * np.float64(np.float32(a)))) for a in v] for i, v in data}
+    want = set()
+    for q in (0, 50):
+        score = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        want |= {(q, r + 1, i, max(-(2**63), min(2**63 - 1, score[i]))) for r, i in enumerate(best)}
+    assert rows(topk.op10_topk(spark, str(tmp_path))) == want
+
+
+def test_bounds_spare_shards(spark):
+    """Near-by vectors share a shard, and a query is not sent to shards that its k-th score rules out."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(32, 6)) * 40
+    x = np.round(centres[np.arange(3200) % 32] + rng.normal(size=(3200, 6)))
+    points = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+    from pyspark.sql import functions as F
+
+    stages = Stages(spark, "t")
+    sent, put = [], stages.put
+    stages.put = lambda df, name, *a: (sent.append(out) if name.startswith("reached") else None, out)[1] if (out := put(df, name, *a)) is not None else None
+    got = topk.exact_topk(points, stages, F.col("id") % 10 == 0, 5, 100).withColumnRenamed("id", "vec_id")
+    assert rows(got) == brute(np.arange(3200), x, 10, 5)
+    assert len(sent) == 3 and sent[0].count() == 320
+    assert sum(df.count() for df in sent) < 0.6 * 320 * 32
