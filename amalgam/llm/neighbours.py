@@ -3,15 +3,18 @@
 Equal vectors are one node that remembers its smallest ids. Nodes live in blocks of about BLOCK: a tree of
 random hyperplanes, fitted on at most SAMPLE vectors, puts near vectors into one block, and hashes split
 blocks that are too large. A node's id names its block, so blocks exchange messages by Spark joins on the
-block: packed arrays, one row for a pair of blocks. A round of NN-descent sends reverse edges, asks for
-the vectors of sampled neighbours, compares all neighbours of a node with one another (neighbours of
-neighbours), and sends what beats a node's worst neighbour. Rounds end when few edges change. Every node
-is indexed. A query is a node: its search starts at its own neighbours and expands the best nodes not yet
-expanded, hop by hop. Vectors of unequal length get one more component that makes their lengths equal
-(the query's is zero), which turns inner product into nearness.
-
-Cases: vectors null, zero, or with null or non-finite components take no part, nor do rows without an id;
-missing components of shorter vectors are 0; repeated rows are neighbours of one another.
+block: packed arrays, one row for a pair of blocks. Lists of neighbours and vectors are tables of their own:
+a round moves the lists, the few vectors that other blocks ask for, and what is found, not the whole state.
+A round of NN-descent tells nodes who has them as a neighbour, asks for the vectors of sampled neighbours,
+compares all neighbours of a node with one another (neighbours of neighbours), and sends what beats a node's
+worst neighbour. Rounds end when few edges change. Every node is indexed. A query is a node: its search starts
+at its own neighbours and expands the best nodes not yet expanded, hop by hop, until all of its best k are
+expanded. Vectors of unequal length get one more component that makes their lengths equal (the query's is
+zero), which turns inner product into nearness.
+
+Cases: vectors null, zero, or with null or non-finite components take no part; a row without an id is a
+candidate like any other, last among ties, but no query; missing components of shorter vectors are 0; repeated
+rows are neighbours of one another.
 """
 
 from __future__ import annotations
@@ -35,13 +38,14 @@ ROUNDS = 12
 SETTLED = 0.003
 BLOCK = 2_048
 SAMPLE = 20_000
-HOPS = 3
+#: A search ends by itself; this many hops, far more than it takes, bound it.
+HOPS = 24
 EXPAND = 40
 POOL = 128
 REVERSE = 64
 _PLACE = 1 << 20
 _ROWS = "block long, kind int, payload binary, moved long"
-_STATE, _MESSAGE, _LISTS = 0, 1, 2
+_STATE, _MESSAGE, _LISTS, _VECTORS, _WORST = 0, 1, 2, 3, 4
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -131,15 +135,18 @@ def _start(block: int, x: np.ndarray, blocks: np.ndarray, counts: np.ndarray, de
     return _tabled(n, degree, a[pick], b[pick], s[pick], np.zeros(len(pick), bool))
 
 
-def _reverse(block: int, by: dict) -> list:
-    """Edges seen from their other end; of one sender a node gets at most SAMPLED, new ones first."""
-    state = by[_STATE][0]
+def _told(block: int, state: dict, moved: int = 0) -> list:
+    """The rows of a block's state: its lists, its worst similarities, and its edges seen from their other end.
+
+    Of one sender a node is told at most SAMPLED edges, new ones first.
+    """
     at, place = np.nonzero(state["ids"] >= 0)
     dst, new = state["ids"][at, place], state["new"][at, place]
     order = np.lexsort((_noise(dst, at), ~new, dst))
     order = order[np.arange(len(order)) - np.searchsorted(dst[order], dst[order]) < SAMPLED]
     dst, src, new = dst[order], block * _PLACE + at[order], new[order]
-    return [_row(b, _MESSAGE, (dst[on] % _PLACE, src[on], new[on])) for b, on in _by_block(dst)]
+    rows = [_row(block, _STATE, state, moved), _row(block, _WORST, state["sims"][:, -1])]
+    return rows + [_row(b, _MESSAGE, (dst[on] % _PLACE, src[on], new[on])) for b, on in _by_block(dst)]
 
 
 def _lists(block: int, by: dict) -> list:
@@ -161,20 +168,21 @@ def _lists(block: int, by: dict) -> list:
     a, b, new = a[keep], b[keep], new[keep]
     live = np.isin(a, a[new])  # without a new neighbour there is nothing to compare
     a, b, new = a[live], b[live], new[live]
-    out = [_row(block, _LISTS, (a, b, new))]
     wanted = np.unique(b)
+    # a list names places in `wanted`, which are short numbers
+    out = [_row(block, _LISTS, (a.astype(np.int32), np.searchsorted(wanted, b).astype(np.int32), new, wanted))]
     return out + [_row(owner, _MESSAGE, (block, wanted[on])) for owner, on in _by_block(wanted)]
 
 
 def _vectors(block: int, by: dict) -> list:
     """Answers to requests: ids, vectors and worst similarities."""
-    if not by[_STATE]:
+    if not by[_VECTORS]:
         return []
-    state = by[_STATE][0]
+    x, worst = by[_VECTORS][0]["x"], by[_WORST][0]
     out = []
     for asker, ids in by[_MESSAGE]:
         on = ids % _PLACE
-        out.append(_row(asker, _MESSAGE, (ids, state["x"][on], state["sims"][on, -1])))
+        out.append(_row(asker, _MESSAGE, (ids, x[on], worst[on])))
     return out
 
 
@@ -182,13 +190,12 @@ def _compared(block: int, by: dict, degree: int) -> list:
     """Neighbours of neighbours: all pairs on a node's list with one new side, where they beat the worst."""
     if not by[_LISTS] or not by[_MESSAGE]:
         return []
-    a, b, new = by[_LISTS][0]
-    ids = np.concatenate([m[0] for m in by[_MESSAGE]])
+    a, b, new, _ = by[_LISTS][0]
+    ids = np.concatenate([m[0] for m in by[_MESSAGE]])  # each wanted node once, so in order they are `wanted`
     order = np.argsort(ids)
     ids = ids[order]
     x = np.concatenate([m[1] for m in by[_MESSAGE]])[order]
     worst = np.concatenate([m[2] for m in by[_MESSAGE]])[order]
-    b = np.searchsorted(ids, b)
     start = np.flatnonzero(np.concatenate([[True], np.diff(a) != 0])) if len(a) else np.zeros(0, int)
     size = np.diff(np.append(start, len(a)))
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
@@ -229,11 +236,11 @@ def _merged(block: int, by: dict, degree: int) -> list:
     # an edge that was never compared gives way to the same edge with its similarity
     pick = best_each(a, b, s, degree, old & np.isfinite(s))
     moved = int((~old[pick]).sum())
-    return [_row(block, _STATE, {**state, **_tabled(len(state["x"]), degree, a[pick], b[pick], s[pick], old[pick])}, moved)]
+    return _told(block, _tabled(len(state["ids"]), degree, a[pick], b[pick], s[pick], old[pick]), moved)
 
 
-def build(nodes: DataFrame, stages: Stages, dim: int, longest: float, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """nodes (block, node, vector, ...) to one row of packed state for each block."""
+def build(nodes: DataFrame, stages: Stages, dim: int, longest: float, degree: int = DEGREE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """nodes (block, node, vector, asked) to two tables with one row of packed arrays for each block: lists, and vectors."""
     spark = nodes.sparkSession
     sizes = nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect()  # one short row for BLOCK nodes
     table = spark.sparkContext.broadcast((np.array([r["block"] for r in sizes], np.int64), np.array([r["n"] for r in sizes], np.float64)))
@@ -241,27 +248,35 @@ def build(nodes: DataFrame, stages: Stages, dim: int, longest: float, degree: in
     def start(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
         x = matrix(frame["vector"].to_numpy(), dim)
-        flat = lifted(x, longest)
-        state = {"x": flat, "raw": x, "node": frame["node"].to_numpy(np.int64), "asked": frame["asked"].to_numpy(bool), **_start(int(key[0]), flat, *table.value, degree)}
-        return pd.DataFrame([_row(key[0], _STATE, state)], columns=["block", "kind", "payload", "moved"])
-
-    now = stages.put(nodes.select("block", "node", "vector", "asked").groupBy("block").applyInPandas(start, _ROWS), "graph")
+        flat, block = lifted(x, longest), int(key[0])
+        held = {"x": flat, "node": frame["node"].to_numpy(np.int64), "asked": frame["asked"].to_numpy(bool)}
+        if not (flat[:, :dim] == x).all():  # else the short form says the same
+            held["raw"] = x
+        rows = [_row(block, _VECTORS, held), *_told(block, _start(block, flat, *table.value, degree))]
+        return pd.DataFrame(rows, columns=["block", "kind", "payload", "moved"])
+
+    kind = F.col("kind")
+    first = stages.put(nodes.select("block", "node", "vector", "asked").groupBy("block").applyInPandas(start, _ROWS), "graph")
+    vectors, now = stages.put(first.where(kind == _VECTORS), "vectors"), first.where(kind != _VECTORS)
+    staged = first
     total = sum(r["n"] for r in sizes)
     for i in range(rounds):
-        listed = stages.put(_step(now.unionByName(_step(now, _reverse)), _lists), "lists")
-        answers = _step(now.unionByName(listed.where(F.col("kind") == _MESSAGE)), _vectors)
-        pairs = _step(listed.where(F.col("kind") == _LISTS).unionByName(answers), lambda block, by: _compared(block, by, degree))
-        after = stages.put(_step(now.unionByName(pairs), lambda block, by: _merged(block, by, degree)), "graph")
-        stages.drop(now, listed)
-        now = after
+        listed = stages.put(_step(now.where(kind != _WORST), _lists), "lists")
+        answers = _step(vectors.unionByName(now.where(kind == _WORST)).unionByName(listed.where(kind == _MESSAGE)), _vectors)
+        pairs = _step(listed.where(kind == _LISTS).unionByName(answers), lambda block, by: _compared(block, by, degree))
+        after = stages.put(_step(now.where(kind == _STATE).unionByName(pairs), lambda block, by: _merged(block, by, degree)), "graph")
+        stages.drop(staged, listed)
+        now = staged = after
         moved = now.agg(F.sum("moved")).first()[0] or 0
         if moved <= SETTLED * total * degree:
             break
-    return stages.put(_step(now.unionByName(_step(now, _reverse)), _undirected), "undirected")
+    out = stages.put(_step(now.where(kind != _WORST), _undirected), "undirected")
+    stages.drop(staged)
+    return out, vectors
 
 
 def _undirected(block: int, by: dict) -> list:
-    """The state with `both`: a node's neighbours and up to REVERSE nodes that have it as theirs."""
+    """For each node its neighbours, and up to REVERSE nodes that have it as theirs."""
     if not by[_STATE]:
         return []
     state = by[_STATE][0]
@@ -271,31 +286,38 @@ def _undirected(block: int, by: dict) -> list:
     mutual = _among(a, b, own // state["ids"].shape[1], state["ids"].ravel()[own])
     a, b = a[~mutual], b[~mutual]
     pick = best_each(a, b, np.zeros(len(a)), REVERSE)
-    back = _tabled(len(state["x"]), REVERSE, a[pick], b[pick], np.zeros(len(pick)), np.zeros(len(pick), bool))["ids"]
-    return [_row(block, _STATE, {**state, "both": np.hstack([state["ids"], back])})]
+    back = _tabled(len(state["ids"]), REVERSE, a[pick], b[pick], np.zeros(len(pick)), np.zeros(len(pick), bool))["ids"]
+    return [_row(block, _STATE, np.hstack([state["ids"], back]))]
+
+
+def _raw(held: dict, dim: int, on: np.ndarray) -> np.ndarray:
+    return held["raw"][on] if "raw" in held else held["x"][on, :dim].astype(np.float64)
 
 
-def _asked(block: int, by: dict) -> list:
+def _asked(block: int, by: dict, dim: int) -> list:
     """The queries of a block: a pool each of ids, scores and whether expanded; starts at the node and its neighbours."""
-    state = by[_STATE][0]
-    on = np.flatnonzero(state["asked"])
+    held, both = by[_VECTORS][0], by[_STATE][0]
+    on = np.flatnonzero(held["asked"])
     if not len(on):
         return []
-    ids = np.column_stack([block * _PLACE + on, state["both"][on]])
-    pool = {"at": on, "q": state["raw"][on], "ids": ids, "scores": np.full(ids.shape, np.nan), "nodes": np.full(ids.shape, -1, np.int64), "done": np.zeros(ids.shape, bool), "hop": 0}
+    ids = np.column_stack([block * _PLACE + on, both[on]])
+    pool = {"at": on, "who": held["node"][on], "q": _raw(held, dim, on), "ids": ids, "scores": np.full(ids.shape, np.nan), "nodes": np.full(ids.shape, -1, np.int64), "done": np.zeros(ids.shape, bool)}
     wanted = np.unique(ids[ids >= 0])
     return [_row(block, _LISTS, pool)] + [_row(owner, _MESSAGE, (block, wanted[p])) for owner, p in _by_block(wanted)]
 
 
-def _raw_vectors(block: int, by: dict) -> list:
-    if not by[_STATE]:
+def _raw_vectors(block: int, by: dict, dim: int) -> list:
+    if not by[_VECTORS]:
         return []
-    state = by[_STATE][0]
-    return [_row(asker, _MESSAGE, (ids, state["raw"][ids % _PLACE], state["node"][ids % _PLACE])) for asker, ids in by[_MESSAGE]]
+    held = by[_VECTORS][0]
+    return [_row(asker, _MESSAGE, (ids, _raw(held, dim, ids % _PLACE), held["node"][ids % _PLACE])) for asker, ids in by[_MESSAGE]]
 
 
-def _scored(block: int, by: dict) -> list:
-    """Pools with scores, cut to the POOL best; requests for the neighbours of the best not yet expanded."""
+def _scored(block: int, by: dict, k: int) -> list:
+    """Pools with scores, cut to the POOL best; requests for the neighbours of the best not yet expanded.
+
+    `moved` counts the queries of which one of the k best, the query itself aside, is not expanded yet.
+    """
     if not by[_LISTS]:
         return []
     pool = by[_LISTS][0]
@@ -320,18 +342,18 @@ def _scored(block: int, by: dict) -> list:
     pad = lambda rows, fill: np.array([np.concatenate([r, np.full(width - len(r), fill, dtype=r.dtype)]) for r in rows])
     out = {**pool, "ids": pad(wide[0], -1), "scores": pad(wide[1], -np.inf), "nodes": pad(wide[2], -1), "done": pad(wide[3], False)}
     todo = ~out["done"] & (out["ids"] >= 0)
-    todo &= np.cumsum(todo, axis=1) <= EXPAND
+    open_ = todo[:, : k + 1].any(axis=1)
+    todo &= (np.cumsum(todo, axis=1) <= EXPAND) & open_[:, None]
     out["done"] = out["done"] | todo
     out["todo"] = todo
     wanted = np.unique(out["ids"][todo])
-    return [_row(block, _LISTS, out)] + [_row(owner, _MESSAGE, (block, wanted[p])) for owner, p in _by_block(wanted)]
+    return [_row(block, _LISTS, out, open_.sum())] + [_row(owner, _MESSAGE, (block, wanted[p])) for owner, p in _by_block(wanted)]
 
 
 def _adjacent(block: int, by: dict) -> list:
     if not by[_STATE]:
         return []
-    state = by[_STATE][0]
-    return [_row(asker, _MESSAGE, (ids, state["both"][ids % _PLACE])) for asker, ids in by[_MESSAGE]]
+    return [_row(asker, _MESSAGE, (ids, by[_STATE][0][ids % _PLACE])) for asker, ids in by[_MESSAGE]]
 
 
 def _widened(block: int, by: dict) -> list:
@@ -345,7 +367,7 @@ def _widened(block: int, by: dict) -> list:
     near = np.concatenate([m[1] for m in by[_MESSAGE]])[order] if len(ids) else np.zeros((0, 1), np.int64)
     rows = []
     for i in range(len(pool["at"])):
-        found = np.unique(near[np.searchsorted(ids, pool["ids"][i][pool["todo"][i]])])
+        found = np.unique(near[np.searchsorted(ids, pool["ids"][i][pool["todo"][i]])]) if len(ids) else ids
         rows.append(np.setdiff1d(found[found >= 0], pool["ids"][i]))
     width = max((len(r) for r in rows), default=0)
     more = np.array([np.concatenate([r, np.full(width - len(r), -1, np.int64)]) for r in rows]).reshape(len(rows), width)
@@ -354,37 +376,38 @@ def _widened(block: int, by: dict) -> list:
     return [_row(block, _LISTS, grown)] + [_row(owner, _MESSAGE, (block, wanted[p])) for owner, p in _by_block(wanted)]
 
 
-def search(graph: DataFrame, stages: Stages, k: int, hops: int = HOPS) -> DataFrame:
-    """node, near, score: for each asked node the POOL best nodes that greedy search finds, itself among them."""
+def search(graph: DataFrame, vectors: DataFrame, stages: Stages, dim: int, k: int, hops: int = HOPS) -> DataFrame:
+    """asker, near, score: for each asked node the POOL best nodes that greedy search finds, itself among them."""
     is_list, is_message = F.col("kind") == _LISTS, F.col("kind") == _MESSAGE
-    now = stages.put(_step(graph, _asked), "asked")
+    now = stages.put(_step(graph.unionByName(vectors), lambda block, by: _asked(block, by, dim)), "asked")
     for hop in range(hops + 1):
-        scored = _step(now.where(is_list).unionByName(_step(graph.unionByName(now.where(is_message)), _raw_vectors)), _scored)
-        scored = stages.put(scored, "scored")
-        if hop == hops:
+        answers = _step(vectors.unionByName(now.where(is_message)), lambda block, by: _raw_vectors(block, by, dim))
+        scored = stages.put(_step(now.where(is_list).unionByName(answers), lambda block, by: _scored(block, by, k)), "scored")
+        stages.drop(now)
+        if hop == hops or not scored.agg(F.sum("moved")).first()[0]:
             break
         now = stages.put(_step(scored.where(is_list).unionByName(_step(graph.unionByName(scored.where(is_message)), _adjacent)), _widened), "widened")
-    both = graph.unionByName(scored.where(is_list))
+        stages.drop(scored)
 
-    def told(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        by = {kind: pickle.loads(p) for kind, p in zip(frame["kind"], frame["payload"])}  # noqa: S301
-        if _LISTS not in by:
-            return pd.DataFrame({"asker": np.zeros(0, np.int64), "near": np.zeros(0, np.int64), "score": np.zeros(0)})
-        pool, node = by[_LISTS], by[_STATE]["node"]
-        keep = (pool["ids"] >= 0).ravel()
-        return pd.DataFrame({"asker": np.repeat(node[pool["at"]], pool["ids"].shape[1])[keep], "near": pool["nodes"].ravel()[keep], "score": pool["scores"].ravel()[keep]})
+    def told(frames):
+        for f in frames:
+            for payload in f["payload"]:
+                pool = pickle.loads(payload)  # noqa: S301  our own arrays
+                keep = (pool["ids"] >= 0).ravel()
+                yield pd.DataFrame({"asker": np.repeat(pool["who"], pool["ids"].shape[1])[keep], "near": pool["nodes"].ravel()[keep], "score": pool["scores"].ravel()[keep]})
 
-    return both.groupBy("block").applyInPandas(told, "asker long, near long, score double")
+    return scored.where(is_list).select("payload").mapInPandas(told, "asker long, near long, score double")
 
 
 def nearest(points: DataFrame, stages: Stages, is_query, k: int = K, block: int = BLOCK) -> DataFrame:
     """points (id, vector array<double>, usable) to query_id, rank, id, score."""
-    rows = points.where("id IS NOT NULL").withColumn("uid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("vector")).withColumn("h2", F.hash("vector", F.lit(1)))
-    rows = stages.put(rows.withColumn("asked", is_query), "rows")
+    last = F.col("id").asc_nulls_last()
+    rows = points.withColumn("uid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("vector")).withColumn("h2", F.hash("vector", F.lit(1)))
+    rows = stages.put(rows.withColumn("asked", F.coalesce(is_query, F.lit(False))), "rows")
     # of each distinct vector the k + 1 smallest ids, in two steps, so that a common vector is not one task
-    salted = Window.partitionBy("h", "h2", F.pmod("uid", F.lit(64))).orderBy("id", "uid")
+    salted = Window.partitionBy("h", "h2", F.pmod("uid", F.lit(64))).orderBy(last, "uid")
     few = rows.withColumn("i", F.row_number().over(salted)).where(F.col("i") <= k + 1)
-    few = few.withColumn("i", F.row_number().over(Window.partitionBy("h", "h2").orderBy("id", "uid"))).where(F.col("i") <= k + 1)
+    few = few.withColumn("i", F.row_number().over(Window.partitionBy("h", "h2").orderBy(last, "uid"))).where(F.col("i") <= k + 1)
     ids = stages.put(few.select("h", "h2", "i", "id", "uid"), "ids")
     asked = rows.groupBy("h", "h2").agg(F.max("asked").alias("asked"))
     nodes = few.where("i = 1").select("h", "h2", F.col("uid").alias("node"), "vector").join(asked, ["h", "h2"])
@@ -403,22 +426,21 @@ def nearest(points: DataFrame, stages: Stages, is_query, k: int = K, block: int
     dealt = stages.put(nodes.select("node", "vector", "asked").mapInPandas(leaf, "node long, vector array<double>, asked boolean, leaf long"), "leaves")
     parts = dealt.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (1.5 * block)).cast("long").alias("parts"))
     blocked = dealt.join(parts, "leaf").withColumn("block", F.col("leaf") * 4096 + F.pmod(F.xxhash64("node"), "parts"))
-    graph = build(blocked, stages, dim, longest) if n else None
     empty = nodes.sparkSession.createDataFrame([], "asker long, near long, score double")
-    found = stages.put(search(graph, stages, k) if n else empty, "found")
+    found = stages.put(search(*build(blocked, stages, dim, longest), stages, dim, k) if n else empty, "found")
     # nodes back to rows: all ids kept of each node found, less the query's own row
     of_node = ids.where("i = 1").select("h", "h2", F.col("uid").alias("near"))
     spread = found.join(of_node, "near").join(ids.drop("i"), ["h", "h2"]).select("asker", "score", "id", "uid")
     ask = ids.where("i = 1").select("h", "h2", F.col("uid").alias("asker"))
     queries = rows.where("asked").select("h", "h2", F.col("id").alias("query_id"), F.col("uid").alias("query_uid")).join(ask, ["h", "h2"]).select("asker", "query_id", "query_uid")
-    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "id", "uid")
+    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), last, "uid")
     best = queries.join(_top(spread, k), "asker").where("uid <> query_uid").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "id", "score")
 
 
 def _top(spread: DataFrame, k: int) -> DataFrame:
     """Of each asking node the k + 1 best rows: enough for any query on it, whose own row falls out."""
-    order = Window.partitionBy("asker").orderBy(F.desc("score"), "id", "uid")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "uid")
     return spread.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1).drop("i")
 
 

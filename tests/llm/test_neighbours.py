@@ -41,6 +41,26 @@ def test_copies_odd_vectors_and_none(spark, no_documents, tmp_path):
     assert N.op6_neighbours(spark, no_documents).count() == 0
 
 
+def test_recall_over_many_blocks(spark):
+    """All queries divisible by 100 of vectors without any blocks of their own: 16 dimensions, 60 blocks."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16)).astype(np.float32).astype(float)
+    points = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, vector array<double>")
+    got = N.nearest(points, Stages(spark, "t"), F.col("id") % 100 == 0, k=20, block=128).toPandas()
+    hits = []
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20]) & set(g.id)) / 20)
+    assert len(hits) == 60 and np.mean(hits) >= 0.95, np.mean(hits)
+
+
+def test_rows_without_an_id_are_candidates(spark):
+    points = spark.createDataFrame([(0, [1.0, 0.0]), (None, [2.0, 0.0]), (1, [1.0, 1.0]), (None, [1.0, 0.0]), (2, [1.0, 0.0])], "id long, vector array<double>")
+    got = N.nearest(points, Stages(spark, "t"), F.col("id") % 20 == 0, k=4).orderBy("rank").collect()
+    assert [(r.query_id, r.id, r.score) for r in got] == [(0, None, 2.0), (0, 1, 1.0), (0, 2, 1.0), (0, None, 1.0)]
+
+
 def test_lengths_differ(spark):
     """Inner product favours long vectors; several blocks exchange messages."""
     rng = np.random.default_rng(3)
