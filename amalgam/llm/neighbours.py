@@ -8,7 +8,7 @@ a round moves the lists, the few vectors that other blocks ask for, and what is
 A round of NN-descent tells nodes who has them as a neighbour, asks for the vectors of sampled neighbours,
 compares all neighbours of a node with one another (neighbours of neighbours), and sends what beats a node's
 worst neighbour. Rounds end when few edges change. Every node is indexed. A query is a node: its search starts
-at its own neighbours and expands the best nodes not yet expanded, hop by hop, until all of its best k are
+at its own neighbours and expands the best nodes not yet expanded, hop by hop, until its FRONT best are all
 expanded. Vectors of unequal length get one more component that makes their lengths equal (the query's is
 zero), which turns inner product into nearness.
 
@@ -41,7 +41,9 @@ SAMPLE = 20_000
 #: A search ends by itself; this many hops, far more than it takes, bound it.
 HOPS = 24
 EXPAND = 40
-POOL = 128
+#: A search keeps the POOL best nodes that it has seen, and ends when the FRONT best of them are expanded.
+POOL = 160
+FRONT = 140
 REVERSE = 64
 _PLACE = 1 << 20
 _ROWS = "block long, kind int, payload binary, moved long"
@@ -316,7 +318,7 @@ def _raw_vectors(block: int, by: dict, dim: int) -> list:
 def _scored(block: int, by: dict, k: int) -> list:
     """Pools with scores, cut to the POOL best; requests for the neighbours of the best not yet expanded.
 
-    `moved` counts the queries of which one of the k best, the query itself aside, is not expanded yet.
+    `moved` counts the queries of which one of the FRONT best nodes (k and itself at least) is not expanded yet.
     """
     if not by[_LISTS]:
         return []
@@ -342,7 +344,7 @@ def _scored(block: int, by: dict, k: int) -> list:
     pad = lambda rows, fill: np.array([np.concatenate([r, np.full(width - len(r), fill, dtype=r.dtype)]) for r in rows])
     out = {**pool, "ids": pad(wide[0], -1), "scores": pad(wide[1], -np.inf), "nodes": pad(wide[2], -1), "done": pad(wide[3], False)}
     todo = ~out["done"] & (out["ids"] >= 0)
-    open_ = todo[:, : k + 1].any(axis=1)
+    open_ = todo[:, : max(FRONT, k + 1)].any(axis=1)
     todo &= (np.cumsum(todo, axis=1) <= EXPAND) & open_[:, None]
     out["done"] = out["done"] | todo
     out["todo"] = todo
