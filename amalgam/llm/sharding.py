@@ -3,7 +3,8 @@
 A node that shall hold k shards is cut along its widest dimension (its extent against the table's) where
 floor(k / 2) / k of its bytes lie below, until every node is one shard: k comes from the target bytes.
 Each level range-sorts the narrow rows of open nodes once, sums bytes by range, and looks for the cut
-within the single range that holds it. Order within a dimension is by value, then by row, so a value
+within the single range that holds it. The place of a text in its dimension is its rank among the distinct
+texts, whole. Order within a dimension is by value, then by row, so a value
 that a third of all rows share is cut like any other. Only one row a node reaches the driver.
 
 Cases: a null text has no bytes (16 of overhead stay), null metadata comes first in its dimension,
@@ -22,20 +23,33 @@ OVERHEAD = 16
 DIMENSIONS = ("doc", "length", "lang", "source")
 
 
-def text_place(c: Column) -> Column:
-    """A string as a number in byte order, by its first six bytes; null and "" come first."""
-    first = F.rpad(F.substring(F.hex(F.encode(F.coalesce(c, F.lit("")), "utf-8")), 1, 12), 12, "0")
-    return F.conv(first, 16, 10).cast("double")
+def _places(values: DataFrame, stages: Stages, column: str) -> DataFrame:
+    """The distinct values of a text column with `place`: their exact rank, "" (and null) first.
 
+    Values are range sorted; each range numbers its own, and starts where the ranges before it end.
+    """
+    spark = values.sparkSession
+    distinct = values.select(F.coalesce(column, F.lit("")).alias(column)).distinct()
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stages.put(distinct.repartitionByRange(width, column).withColumn("part", F.spark_partition_id()), f"values-{column}")
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # a row a range
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(column))
+    return stages.put(ranged.withColumn("i", inside).join(F.broadcast(starts), "part").select(column, (F.col("before") + F.col("i")).cast("double").alias("place")), f"places-{column}")
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and a double for each dimension."""
+
+def described(docs: DataFrame, stages: Stages) -> DataFrame:
+    """doc_id, size, text_crc32 and a double for each dimension; of texts, the rank of the whole value."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
-    return docs.select(
+    out = docs.select(
         "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)).alias("doc"), F.log2(size.cast("double")).alias("length"),
-        text_place(F.col("lang")).alias("lang"), text_place(F.col("source")).alias("source"),
+        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
     )
+    out = stages.put(out, "described")
+    for column in ("lang", "source"):
+        out = out.join(_places(out, stages, column), column).drop(column).withColumnRenamed("place", column)
+    return out
 
 
 def _cuts(ranged: DataFrame, targets: dict[int, float], spark: SparkSession) -> dict[int, tuple[float, int]]:
@@ -109,7 +123,7 @@ def kd_shards(rows: DataFrame, stages: Stages, dimensions: tuple[str, ...] = DIM
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = Stages(spark, "sharding")
-    dealt = stages.put(kd_shards(described(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")), stages, shards=SHARDS).select("doc_id", "size", "text_crc32", "shard", "uid"), "dealt")
+    dealt = stages.put(kd_shards(described(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), stages), stages, shards=SHARDS).select("doc_id", "size", "text_crc32", "shard", "uid"), "dealt")
     return numbered(dealt, stages, ["shard"], "uid", "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
