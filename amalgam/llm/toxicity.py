@@ -1,16 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are mapped to classes: insults (learned words and stems with weights), threats, targets, negations
-and reporting verbs. Five small transducers read a clause from left to right in step (their composition is
-one automaton whose state is the product of theirs): the insult and threat transducers emit a weight, and
-the states of the others turn what is emitted into plain, targeted, negated or reported. A text's score is
-a logistic function of the emitted weights by kind; a word outside any matched clause counts for nothing.
-
-Learning uses labelled rows outside the held-out fifth, of those the SAMPLE with the least hash of doc_id:
-that is the documented bound of the classifier's training set. The lexicon is fitted on it as well.
+Words are mapped to classes: insults (learned words and stems with weights), threats, targets, negations,
+reporting verbs and quotation marks. Small transducers over these classes each know one thing: whether a
+negation, a target or a reporting verb stands before, whether a quotation is open, and, read from right to
+left, whether a target follows. compose() builds the product of those that read from left to right; a clause
+is run through it once in each direction, and an arc that reads an insult or a threat emits its weight as
+plain, targeted, negated, reported or threatening, as the product's state and the state ahead decide. The
+weight of a clause is the sum over its path; clauses whose path emits nothing are no match and count for
+nothing. A text's score is a logistic function of the weights of its matched clauses by kind.
+
+Learning uses labelled rows outside the held-out fifth, of those the SAMPLE with the least hash of doc_id, one
+text an id: the documented bound of the classifier's training set. The lexicon is fitted on it as well: of the
+CANDIDATES commonest words and stems of toxic texts, the LEXICON surest.
 
 Cases: a null or blank text matches nothing and scores as the bias; repeated rows score alike; without
-labels the prior weights stand and the lexicon holds the fixed seeds alone.
+labels the prior weights stand and the lexicon holds the fixed seeds alone; words of any length are read.
 """
 
 from __future__ import annotations
@@ -32,9 +36,10 @@ SAMPLE = 20_000
 CANDIDATES = 50_000
 LEXICON = 4_000
 STEMS = (4, 5, 6)
+#: For how many words a negation or a target before holds, and how many words ahead a target may follow.
+BEHIND, AHEAD = 4, 3
 #: A feature joins the lexicon if its log odds of toxicity, less 1.96 standard errors, are at least this.
 LEAST_ODDS = 2.0
-WINDOW = 4
 
 #: Seeds of each class.
 TARGETS = frozenset("you your yours u ur he she they them this that these those du dich dir ihr euch sie tu te toi vous il elle tú ti usted ustedes él ella".split())
@@ -53,6 +58,67 @@ _ENDS = frozenset(".!?;:\n")
 _QUOTES = frozenset("\"“”«»")
 
 
+#: Classes of words, and the letter that stands for each.
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
+_CLASS = {w: c for c, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS), (QUOTE, _QUOTES)) for w in words}
+
+
+class Transducer:
+    """States from 0, the start; arcs[state][class] is the next state, and `holds` the states that say yes."""
+
+    def __init__(self, arcs: list[list[int]], holds: set[int]):
+        self.arcs, self.holds = arcs, holds
+
+
+def within(on: int, reach: int) -> Transducer:
+    """Says yes for `reach` words after one of class `on`; quotation marks are no words."""
+    step = lambda s, c: reach if c == on else s if c == QUOTE else max(0, s - 1)
+    return Transducer([[step(s, c) for c in range(7)] for s in range(reach + 1)], set(range(1, reach + 1)))
+
+
+def since(on: int) -> Transducer:
+    """Says yes from the first word of class `on` to the end of the clause."""
+    return Transducer([[int(s or c == on) for c in range(7)] for s in range(2)], {1})
+
+
+def between(mark: int) -> Transducer:
+    """Says yes between an opening and a closing mark."""
+    return Transducer([[s ^ (c == mark) for c in range(7)] for s in range(2)], {1})
+
+
+def compose(machines: list[Transducer]) -> tuple[list[list[int]], list[tuple[bool, ...]], dict[tuple, int]]:
+    """The product: arcs, what each machine says in each state, and the number of each state; only what can be reached."""
+    number, order, arcs = {(0,) * len(machines): 0}, [(0,) * len(machines)], []
+    for state in order:  # grows while it is read
+        row = []
+        for c in range(7):
+            after = tuple(m.arcs[s][c] for m, s in zip(machines, state))
+            if after not in number:
+                number[after] = len(order)
+                order.append(after)
+            row.append(number[after])
+        arcs.append(row)
+    return arcs, [tuple(s in m.holds for m, s in zip(machines, state)) for state in order], number
+
+
+def emitted_as(negated: bool, targeted: bool, reported: bool, quoted: bool, target_ahead: bool) -> tuple[int, int]:
+    """The kind as which an insult and a threat are emitted; -1: not at all."""
+    if negated:
+        return KINDS.index("negated"), KINDS.index("negated")
+    if reported or quoted:
+        return KINDS.index("reported"), KINDS.index("reported")
+    if targeted or target_ahead:
+        return KINDS.index("targeted"), KINDS.index("threat")
+    return KINDS.index("plain"), -1
+
+
+_FORWARD, _SAYS, _NUMBER = compose([within(NEGATION, BEHIND), within(TARGET, BEHIND), since(REPORT), between(QUOTE)])
+_QUOTED = [says[3] for says in _SAYS]
+_OPENED = _NUMBER[(0, 0, 0, 1)]
+_BACKWARD = within(TARGET, AHEAD)
+_EMIT = [[emitted_as(*says, ahead) for ahead in (False, True)] for says in _SAYS]
+
+
 def features_of(word: str) -> list[str]:
     """The word itself and its stems, a stem marked by a star."""
     return [word, *[word[:n] + "*" for n in STEMS if len(word) > n]]
@@ -74,43 +140,26 @@ class Grammar:
         return max((self.lexicon.get(f, 0.0) for f in features_of(word)), default=0.0)
 
     def clause(self, tokens: list[str], out: np.ndarray, quoted: bool) -> bool:
-        """Run the composed automaton over a clause; add to `out` by kind. Returns the state of quotation."""
-        negation = target = 0  # tokens for which these states still hold
-        reported = False
-        waiting: list[tuple[int, float, str]] = []  # matches that a target may still follow
+        """Run the grammar over a clause and add its path's weights to `out` by kind. Returns whether a quotation is open."""
+        classes, weights = [], []
         for token in tokens:
-            if token in _QUOTES:
-                quoted = not quoted
-                continue
-            weight, kind = self.insult(token), ""
-            if weight > 0:
-                kind = "negated" if negation else "reported" if reported or quoted else "targeted" if target else "plain"
-            elif token in THREATS:
-                weight, kind = 1.0, "negated" if negation else "reported" if reported or quoted else "threat" if target else ""
-                if not kind:
-                    waiting.append((WINDOW, weight, "threat"))
-            if kind == "plain":
-                waiting.append((WINDOW, weight, "plain"))
-            elif kind:
-                out[KINDS.index(kind)] += weight
-            if token in TARGETS:
-                target = WINDOW + 1
-                for _, w, k in waiting:
-                    out[KINDS.index("targeted" if k == "plain" else "threat")] += w
-                waiting = []
-            elif token in NEGATIONS:
-                negation = WINDOW
-            elif token in REPORTS:
-                reported = True
-            negation, target = max(0, negation - (token not in NEGATIONS)), max(0, target - 1)
-            for left, w, k in waiting:
-                if left == 1 and k == "plain":
-                    out[KINDS.index(k)] += w
-            waiting = [(left - 1, w, k) for left, w, k in waiting if left > 1]
-        for _, w, k in waiting:
-            if k == "plain":
-                out[KINDS.index(k)] += w
-        return quoted
+            weight = self.insult(token)
+            classes.append(INSULT if weight > 0 else _CLASS.get(token, OTHER))
+            weights.append(weight or 1.0)
+        ahead, follows = 0, []
+        if INSULT in classes or THREAT in classes:
+            for c in reversed(classes):
+                follows.append(ahead in _BACKWARD.holds)
+                ahead = _BACKWARD.arcs[ahead][c]
+            follows.reverse()
+        state = _OPENED if quoted else 0
+        for i, c in enumerate(classes):
+            if c <= THREAT:
+                kind = _EMIT[state][follows[i]][c]
+                if kind >= 0:
+                    out[kind] += weights[i]
+            state = _FORWARD[state][c]
+        return _QUOTED[state]
 
     def emitted(self, text: str | None) -> np.ndarray:
         """Summed weights by kind, over all clauses of the text that hold a match."""
@@ -168,24 +217,28 @@ def _counted(docs: DataFrame, only: set[str] | None) -> DataFrame:
         counts: Counter = Counter()
         for f in frames:
             for text in f["text"]:
-                found = {x for w in set(_WORD.findall((text or "").lower())) if len(w) <= 40 for x in features_of(w)}
+                found = {x for w in set(_WORD.findall((text or "").lower())) for x in features_of(w)}
                 counts.update(found if only is None else found & only)
         yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())}).astype({"feature": str, "n": "int64"})
 
     return docs.select("text").mapInPandas(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = SAMPLE) -> Grammar:
-    """docs (doc_id, text), labels (doc_id, toxic); learns from at most `sample` rows outside the held-out fifth."""
+def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = SAMPLE, candidates: int = CANDIDATES, most: int = LEXICON) -> Grammar:
+    """docs (doc_id, text), labels (doc_id, toxic); learns from at most `sample` ids outside the held-out fifth.
+
+    `candidates` bounds the words and stems that are weighed, the commonest first, and `most` the lexicon.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     chosen = stages.put(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample")
-    texts = stages.put(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "texts")
+    of_id = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    texts = stages.put(of_id, "texts")
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_bad, n_good = n.get(1, 0), n.get(0, 0)
     lexicon = dict.fromkeys(INSULT_SEEDS, 1.0)
     if n_bad and n_good:
         least = max(3, n_bad // 1000)
-        bad = {r["feature"]: r["n"] for r in _counted(texts.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
+        bad = {r["feature"]: r["n"] for r in _counted(texts.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(candidates).collect()}
         names = set(bad)
         good = {r["feature"]: r["n"] for r in _counted(texts.where("toxic = 0"), names).collect()}
         surest = {}
@@ -193,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, stages: Stages, sample: int = SAMP
             g = good.get(f, 0)
             odds = np.log((k + 0.5) / (n_bad + 1)) - np.log((g + 0.5) / (n_good + 1))
             surest[f] = odds - 1.96 * np.sqrt(1 / (k + 0.5) + 1 / (g + 0.5))
-        best = sorted((f for f, o in surest.items() if o >= LEAST_ODDS), key=lambda f: (-surest[f], f))[:LEXICON]
+        best = sorted((f for f, o in surest.items() if o >= LEAST_ODDS), key=lambda f: (-surest[f], f))[:most]
         lexicon |= {f: float(surest[f] / LEAST_ODDS) for f in best}
     grammar = Grammar(lexicon, PRIOR.copy())
     if n_bad and n_good:

@@ -54,3 +54,46 @@ def test_words_outside_patterns_count_for_nothing(grammar):
     alone = grammar.score(np.array([grammar.emitted("idiot idiot idiot")]))
     negated = grammar.score(np.array([grammar.emitted("not idiot. never idiot")]))
     assert alone > 0.5 > negated
+
+
+def by_hand(classes, quoted):
+    """What each insult (i) and threat (h) of a clause is, from the words around it alone."""
+    out = []
+    for at, c in enumerate(classes):
+        if c not in "ih":
+            continue
+        before = [x for x in classes[:at] if x != "q"]
+        after = [x for x in classes[at + 1 :] if x != "q"]
+        is_open = (classes[:at].count("q") + quoted) % 2 == 1
+        if "n" in before[-4:]:
+            out.append("negated")
+        elif "r" in before or is_open:
+            out.append("reported")
+        elif "t" in before[-4:] or "t" in after[:3]:
+            out.append("targeted" if c == "i" else "threat")
+        elif c == "i":
+            out.append("plain")
+    return out
+
+
+def test_grammar_against_definition(grammar):
+    import random
+
+    words = {"i": "idiot", "h": "kill", "t": "you", "n": "not", "r": "said", "q": '"', "o": "table"}
+    rng = random.Random(1)
+    for _ in range(3000):
+        classes = [rng.choice("ihtnrqooo") for _ in range(rng.randint(0, 14))]
+        quoted, out = rng.random() < 0.3, np.zeros(len(T.KINDS))
+        still = grammar.clause([words[c] for c in classes], out, quoted)
+        want = by_hand(classes, quoted)
+        assert out.tolist() == [want.count(k) for k in T.KINDS], classes
+        assert still == ((classes.count("q") + quoted) % 2 == 1)
+
+
+def test_composition_is_the_product():
+    arcs, says, number = T.compose([T.within(T.NEGATION, 2), T.between(T.QUOTE)])
+    assert len(arcs) == len(says) == len(number) == 6
+    a, b = T.within(T.NEGATION, 2), T.between(T.QUOTE)
+    for (x, y), i in number.items():
+        assert says[i] == (x in a.holds, y in b.holds)
+        assert arcs[i] == [number[(a.arcs[x][c], b.arcs[y][c])] for c in range(7)]
