@@ -1,14 +1,14 @@
 """Substring deduplication by prefix-partitioned suffix trees over words.
 
-A suffix here begins at a word that starts a window of 50; only its first 50 words matter, so trees are
-cut at that depth. Suffixes are partitioned by a prefix of variable length that their content defines: it
-runs from the suffix's start through the least-hashed gram of twelve words in its window. Equal windows
-have equal prefixes, and neighbouring suffixes share their gram, so one record stands for a run of them.
-Prefixes found in one distinct text only have no inner node that counts and are dropped. Each remaining
-group is small: its suffixes are sorted, which lists the leaves of the subtree in order, and each run of
-neighbours that agree on 50 words hangs below one deep inner node, whose least document owns the passage.
-Equal contexts are merged before the shuffle, and a group still over GROUP contexts is split by the
-longest prefix, the window itself, whose node is then a plain minimum.
+Of all suffixes of a text those are kept that begin with the least-hashed gram of twelve words in some window of
+50: equal windows then keep the same suffix, and one kept suffix, with the words before it that its windows cover,
+stands for a run of windows. Suffixes are partitioned by their prefix, the gram; prefixes found in one distinct
+text only have no inner node that counts and are dropped before any text moves. In each group two trees are
+built: one of the suffixes, and one of what stands before them, read backwards. A window that begins o words
+before its suffix is repeated wherever leaves share the suffix tree's inner node of depth 50 - o and the other
+tree's node of depth o; the least document below both owns it. So the deep inner nodes give the maximal repeats,
+and every window in them. Equal contexts are merged before the shuffle, and a group still over GROUP contexts
+is split by the longest prefix, the window itself, whose node is then a plain minimum.
 
 Exact copies are one text: its owner is the least doc_id that has it.
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amalgam.llm.common import Stages, read, words
+from amalgam.llm.common import Stages, key_filter, read, words
 
 WINDOW = 50
 GRAM = 12
@@ -72,11 +72,11 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def prefixes(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of word hashes: (gram hash, first suffix, number of suffixes) for runs of suffixes with one gram."""
+def prefixes(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of word hashes: (gram hash, first window, number of windows, words before the gram) for runs of windows with one gram."""
     n = len(h) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 3
     g = gram_hashes(h, gram)
     wide = window - gram + 1
     at = np.empty(n, dtype=np.int64)
@@ -84,7 +84,7 @@ def prefixes(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
         part = np.lib.stride_tricks.sliding_window_view(g[lo : min(n, lo + (1 << 15)) + wide - 1], wide)
         at[lo : lo + len(part)] = part.argmin(axis=1) + np.arange(lo, lo + len(part))
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return g[at[first]].view(np.int64), first.astype(np.int32), np.diff(np.append(first, n)).astype(np.int32)
+    return g[at[first]].view(np.int64), first.astype(np.int32), np.diff(np.append(first, n)).astype(np.int32), (at[first] - first).astype(np.int32)
 
 
 def _digest(ws: list[str]) -> str:
@@ -99,13 +99,13 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
             for doc, key, text in zip(f["doc"], f["tk"], f["text"]):
                 ws = words(text)
                 rows.append((doc, key, len(ws), _digest(ws), *prefixes(hashes(ws), window)))
-            yield pd.DataFrame(rows, columns=["doc", "tk", "n_words", "sha", "grams", "lows", "counts"])
+            yield pd.DataFrame(rows, columns=["doc", "tk", "n_words", "sha", "grams", "lows", "counts", "leads"])
 
-    return docs.mapInPandas(run, "doc long, tk long, n_words long, sha string, grams array<long>, lows array<int>, counts array<int>")
+    return docs.mapInPandas(run, "doc long, tk long, n_words long, sha string, grams array<long>, lows array<int>, counts array<int>, leads array<int>")
 
 
 def _contexts(held: DataFrame, window: int) -> DataFrame:
-    """One row a run of suffixes: all the words that its windows cover."""
+    """One row a kept suffix: all the words that its windows cover, and how many of them stand before it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -113,13 +113,13 @@ def _contexts(held: DataFrame, window: int) -> DataFrame:
             for key, owner, text, runs in zip(f["tk"], f["owner"], f["text"], f["runs"]):
                 ws = words(text)
                 for r in runs:
-                    rows.append((r["gram"], key, owner, r["low"], " ".join(ws[r["low"] : r["low"] + r["n"] + window - 1])))
+                    rows.append((r["gram"], key, owner, r["low"], r["lead"], " ".join(ws[r["low"] : r["low"] + r["n"] + window - 1])))
                     if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=["gram", "tk", "owner", "low", "context"])
+                        yield pd.DataFrame(rows, columns=["gram", "tk", "owner", "low", "lead", "context"])
                         rows = []
-            yield pd.DataFrame(rows, columns=["gram", "tk", "owner", "low", "context"])
+            yield pd.DataFrame(rows, columns=["gram", "tk", "owner", "low", "lead", "context"])
 
-    return held.select("tk", "owner", "text", "runs").mapInPandas(run, "gram long, tk long, owner long, low int, context string")
+    return held.select("tk", "owner", "text", "runs").mapInPandas(run, "gram long, tk long, owner long, low int, lead int, context string")
 
 
 def _suffixes(context: str, window: int) -> list[str]:
@@ -129,25 +129,56 @@ def _suffixes(context: str, window: int) -> list[str]:
     return [context[starts[j] : ends[j + window - 1] - 1] for j in range(len(ws) - window + 1)]
 
 
-def subtree(contexts: list[str], owners: list[int], window: int = WINDOW) -> list[list[int]]:
-    """Of each context and each suffix in it, the least owner below the suffix's inner node of depth `window`."""
-    leaves = sorted((s, c, j) for c, context in enumerate(contexts) for j, s in enumerate(_suffixes(context, window)))
-    out: list[list[int]] = [[0] * (context.count(" ") + 2 - window) for context in contexts]
-    lo = 0
-    for hi in range(1, len(leaves) + 1):
-        if hi == len(leaves) or leaves[hi][0] != leaves[lo][0]:
-            least = min(owners[c] for _, c, _ in leaves[lo:hi])
-            for _, c, j in leaves[lo:hi]:
-                out[c][j] = least
-            lo = hi
+def _nodes(strings: list[list[str]], depths: list[range]) -> list[list[int]]:
+    """The tree over the strings: for each of them, and each of its falling depths, the inner node at or below that depth.
+
+    Strings are the leaves in order; a node is named by its first leaf. The stack holds the path of the current
+    leaf: (depth at which it leaves the one before, place).
+    """
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out: list[list[int]] = [[]] * len(strings)
+    path: list[tuple[int, int]] = []
+    last: list[str] = []
+    for place, i in enumerate(order):
+        now = strings[i]
+        shared = -1
+        if place:
+            shared = min(len(last), len(now))
+            if last[:shared] != now[:shared]:
+                shared = next(d for d, (x, y) in enumerate(zip(last, now)) if x != y)
+        while path and path[-1][0] >= shared:
+            path.pop()
+        path.append((shared, place))
+        last, at, found = now, len(path) - 1, []
+        for depth in depths[i]:
+            while path[at][0] >= depth:
+                at -= 1
+            found.append(path[at][1])
+        out[i] = found
     return out
 
 
+def subtree(contexts: list[str], leads: list[int], owners: list[int], window: int = WINDOW) -> list[list[int]]:
+    """Of each context and each window in it, the least owner below the two inner nodes that the window's parts reach."""
+    cut = [context.split(" ") for context in contexts]
+    counts = [len(ws) - window + 1 for ws in cut]
+    # the window that begins j words into its context has lead - j words before the suffix, and the rest in it
+    after = _nodes([ws[lead:] for ws, lead in zip(cut, leads)], [range(n - 1 + window - lead, window - lead - 1, -1) for n, lead in zip(counts, leads)])
+    before = _nodes([ws[:lead][::-1] for ws, lead in zip(cut, leads)], [range(lead, lead - n, -1) for n, lead in zip(counts, leads)])
+    least: dict[tuple[int, int, int], int] = {}
+    keys = [[(lead - j, after[c][-1 - j], before[c][j]) for j in range(n)] for c, (n, lead) in enumerate(zip(counts, leads))]
+    for own, owner in zip(keys, owners):
+        for key in own:
+            if owner < least.get(key, owner + 1):
+                least[key] = owner
+    return [[least[key] for key in own] for own in keys]
+
+
 def _trees(contexts: DataFrame, window: int) -> DataFrame:
-    """contexts (gram, ck, context, owner), groups together, to gram, ck, least: array by suffix."""
+    """contexts (gram, ck, context, lead, owner), groups together, to gram, ck, least: array by window."""
 
     def built(rows: list[tuple]) -> pd.DataFrame:
-        least = subtree([r[2] for r in rows], [r[3] for r in rows], window)
+        least = subtree([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], window)
         return pd.DataFrame({"gram": [r[0] for r in rows], "ck": [r[1] for r in rows], "least": least})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +200,7 @@ def _trees(contexts: DataFrame, window: int) -> DataFrame:
         if done:
             yield pd.concat(done)
 
-    together = contexts.select("gram", "ck", "context", "owner").repartition("gram").sortWithinPartitions("gram", "ck")
+    together = contexts.select("gram", "ck", "context", "lead", "owner").repartition("gram").sortWithinPartitions("gram", "ck")
     return together.mapInPandas(run, "gram long, ck long, least array<long>")
 
 
@@ -215,19 +246,20 @@ def repeats(docs: DataFrame, stages: Stages, window: int = WINDOW, group: int =
     scanned = stages.put(_scan(keyed, window), "scanned")
     owners = stages.put(scanned.groupBy("tk").agg(F.min("doc").alias("owner")), "owners")
     firsts = scanned.where(F.size("grams") > 0).join(owners, "tk").where("doc = owner")
-    runs = firsts.select("tk", F.explode(F.arrays_zip("grams", "lows", "counts")).alias("r")).select("tk", F.col("r.grams").alias("gram"), F.col("r.lows").alias("low"), F.col("r.counts").alias("n"))
+    runs = firsts.select("tk", F.explode(F.arrays_zip("grams", "lows", "counts", "leads")).alias("r")).select("tk", F.col("r.grams").alias("gram"), F.col("r.lows").alias("low"), F.col("r.counts").alias("n"), F.col("r.leads").alias("lead"))
     runs = stages.put(runs, "runs")
     shared = runs.groupBy("gram").agg(F.min("tk").alias("a"), F.max("tk").alias("b")).where("a <> b").select("gram")
-    by_text = runs.join(shared, "gram").groupBy("tk").agg(F.collect_set(F.struct("gram", "low", "n")).alias("runs")).join(owners, "tk")
+    shared = stages.put(shared, "shared")  # a table, so that the join below is one that can split a gram that many texts hold
+    by_text = runs.where(key_filter(shared)("gram")).join(shared, "gram").groupBy("tk").agg(F.collect_set(F.struct("gram", "low", "n", "lead")).alias("runs")).join(owners, "tk")
     held = stages.put(keyed.join(by_text, "tk").where("doc = owner"), "held")
     stages.drop(runs)
-    contexts = stages.put(_contexts(held, window).withColumn("ck", F.xxhash64("context")), "contexts")
-    merged = contexts.groupBy("gram", "ck").agg(F.first("context").alias("context"), F.min("owner").alias("owner"))
+    contexts = stages.put(_contexts(held, window).withColumn("ck", F.xxhash64("context", "lead")), "contexts")
+    merged = contexts.groupBy("gram", "ck").agg(F.first("context").alias("context"), F.first("lead").alias("lead"), F.min("owner").alias("owner"))
     merged = stages.put(merged, "merged")
     large = merged.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group).select("gram")
     least = _trees(merged.join(large, "gram", "left_anti"), window).unionByName(_deep(merged.join(large, "gram", "left_semi"), window))
     least = stages.put(least, "least")
-    marked = contexts.drop("context").join(least, ["gram", "ck"])
+    marked = contexts.drop("context", "lead").join(least, ["gram", "ck"])
     own = F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda j: F.element_at("least", j + 1) < F.col("owner"))
     marked = marked.withColumn("starts", F.transform(own, lambda j: j + F.col("low"))).where(F.size("starts") > 0)
     starts = marked.groupBy("tk").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))

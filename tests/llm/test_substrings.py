@@ -54,3 +54,29 @@ def test_overlaps_and_low_entropy(spark, tmp_path):
     rows = [(5, a), (3, " ".join(ws[30:95])), (9, "x " * 30 + " ".join(ws[10:70]) + " y" * 20), (2, "z " * 200), (8, "q " + "z " * 120), (1, " ".join(ws[:49])), (6, " ".join(ws[20:69] + ["other"] + ws[70:]))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert got(substrings.op5_substrings(spark, str(tmp_path))) == brute(rows)
+
+
+def test_trees_against_equal_windows():
+    """The two inner nodes of a window are the same for two windows just if all their words are."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(300):
+        window, gram = rng.choice([(6, 2), (8, 3), (5, 1)])
+        middle = [rng.choice("ab") for _ in range(gram)]
+        contexts, leads = [], []
+        for _ in range(rng.randint(1, 12)):
+            lead = rng.randint(0, window - gram)
+            n = rng.randint(1, lead + 1)
+            ws = [rng.choice("ab") for _ in range(n + window - 1)]
+            ws[lead : lead + gram] = middle
+            contexts.append(" ".join(ws))
+            leads.append(lead)
+        owners = [rng.randint(0, 9) for _ in contexts]
+        first: dict = {}
+        windows = [[tuple(c.split()[j : j + window]) for j in range(len(c.split()) - window + 1)] for c in contexts]
+        for c, own in enumerate(windows):
+            for j, w in enumerate(own):
+                key = (leads[c] - j, w)
+                first[key] = min(first.get(key, 99), owners[c])
+        assert substrings.subtree(contexts, leads, owners, window) == [[first[(leads[c] - j, w)] for j, w in enumerate(own)] for c, own in enumerate(windows)]
