@@ -329,12 +329,15 @@ def jaccard_classes(docs: DataFrame, stages: Stages, threshold: float = THRESHOL
     members = groups.select(F.col("v").alias("key"), F.col("c").alias("grp")).join(sets.select("key", "row", "copies", "n"), "key")
     sizes = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("nb"))
     members = stages.put(members.join(sizes, "grp").select("row", "grp", "nb", "key", "copies"), "members")
-    # only texts that may be wanted move; the filter's few false ones fall out in the join
-    texts = keyed.select("row", "text").where(key_filter(members.select("row"))("row")).join(members, "row").select("grp", "nb", "key", "copies", "text")
+    # only texts that may be wanted move; the filter's few false ones fall out in the join. They are staged in
+    # between, so that no task runs the filter's Python worker beside that of the shingles
+    wanted = stages.put(keyed.select("row", "text").where(key_filter(members.select("row"))("row")), "wanted")
+    texts = wanted.join(members, "row").select("grp", "nb", "key", "copies", "text")
     cut = _shingled(texts, k).withColumn("block", F.pmod(F.xxhash64("key"), "nb"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     cut = cut.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "key", "copies", "shingles")
     found = stages.put(_verified(cut, threshold), "verified")
+    stages.drop(wanted)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")), stages)
     own = sets.select("key", "owner", "row", "copies").join(joined.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
