@@ -36,6 +36,8 @@ SAMPLE = 20_000
 CANDIDATES = 50_000
 LEXICON = 4_000
 STEMS = (4, 5, 6)
+#: Words whose class a task remembers: memory, not a limit on what is read.
+REMEMBERED = 100_000
 #: For how many words a negation or a target before holds, and how many words ahead a target may follow.
 BEHIND, AHEAD = 4, 3
 #: A feature joins the lexicon if its log odds of toxicity, less 1.96 standard errors, are at least this.
@@ -131,6 +133,7 @@ class Grammar:
         import ahocorasick
 
         self.lexicon, self.weights = lexicon, weights
+        self.known: dict[str, tuple[int, float]] = {}
         self.automaton = ahocorasick.Automaton()
         for key in [*lexicon, *THREATS]:
             self.automaton.add_word(key.rstrip("*"), 1)
@@ -139,25 +142,33 @@ class Grammar:
     def insult(self, word: str) -> float:
         return max((self.lexicon.get(f, 0.0) for f in features_of(word)), default=0.0)
 
+    def read(self, token: str) -> tuple[int, float]:
+        """Class and weight of a word, remembered for the first words met."""
+        found = self.known.get(token)
+        if found is None:
+            weight = self.insult(token)
+            found = (INSULT, weight) if weight > 0 else (_CLASS.get(token, OTHER), 1.0)
+            if len(self.known) < REMEMBERED:
+                self.known[token] = found
+        return found
+
     def clause(self, tokens: list[str], out: np.ndarray, quoted: bool) -> bool:
         """Run the grammar over a clause and add its path's weights to `out` by kind. Returns whether a quotation is open."""
-        classes, weights = [], []
-        for token in tokens:
-            weight = self.insult(token)
-            classes.append(INSULT if weight > 0 else _CLASS.get(token, OTHER))
-            weights.append(weight or 1.0)
+        read = [self.read(token) for token in tokens]
+        classes = [c for c, _ in read]
+        if INSULT not in classes and THREAT not in classes:  # no path emits anything; only the quotation matters
+            return quoted ^ (classes.count(QUOTE) % 2 == 1)
         ahead, follows = 0, []
-        if INSULT in classes or THREAT in classes:
-            for c in reversed(classes):
-                follows.append(ahead in _BACKWARD.holds)
-                ahead = _BACKWARD.arcs[ahead][c]
-            follows.reverse()
+        for c in reversed(classes):
+            follows.append(ahead in _BACKWARD.holds)
+            ahead = _BACKWARD.arcs[ahead][c]
+        follows.reverse()
         state = _OPENED if quoted else 0
         for i, c in enumerate(classes):
             if c <= THREAT:
                 kind = _EMIT[state][follows[i]][c]
                 if kind >= 0:
-                    out[kind] += weights[i]
+                    out[kind] += read[i][1]
             state = _FORWARD[state][c]
         return _QUOTED[state]
 
