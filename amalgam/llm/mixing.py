@@ -12,6 +12,9 @@ without an id draw by their number of tokens and cell; a table with no tokens at
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,11 @@ from amalgam.llm.common import Stages, read
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 10
 CALIBRATIONS = 12
+#: Rounds go on, five at a time, until no marginal is further than this from its target. Targets that no weights can
+#: meet end them, with a warning, once five rounds bring next to nothing, or at MOST_ROUNDS.
+TOLERANCE = 1e-6
+MOST_ROUNDS = 200
+MOST_CALIBRATIONS = 200
 
 #: Topics by the first pattern that a text holds, in this order; others are "prose".
 TOPICS = (
@@ -53,38 +61,46 @@ def _targets(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
     return own.crossJoin(F.broadcast(own.agg(F.sum("p").alias("all")))).select(dimension, (F.col("p") / F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], stages: Stages, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], stages: Stages, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Cells (dimensions, tokens) with `w`: shares whose marginals meet `targets` (value, target).
 
-    Targets join the cells once; each rake is then one window sum over counted cells, so all rounds are
-    one plan that is as long as there are rakes.
+    Targets join the cells once; each rake is then one window sum over counted cells, so five rounds are
+    one plan that is as long as there are rakes. Only the largest miss reaches the driver.
     """
     total = cells.agg(F.sum("tokens").cast("double").alias("all"))
     now = cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("tokens") / F.col("all")).drop("all").where("tokens > 0")
     for d in targets:
         now = now.join(targets[d].withColumnRenamed("target", f"target_{d}"), d)
-    now = stages.put(now, "cells")
-    for i in range(rounds):
-        for d in targets:
-            sums = F.sum("w").over(Window.partitionBy(d))
-            now = now.withColumn("s", sums).withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"target_{d}") / F.col("s")).otherwise(F.lit(0.0))).drop("s")
-        if i % 5 == 4:
-            now = stages.put(now, "cells")
+    now, done, miss, last = stages.put(now, "cells"), 0, 1.0, 2.0
+    while done < rounds or (tolerance < miss < 0.98 * last and done < MOST_ROUNDS):
+        for _ in range(min(5, rounds - done) if done < rounds else 5):
+            for d in targets:
+                sums = F.sum("w").over(Window.partitionBy(d))
+                now = now.withColumn("s", sums).withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"target_{d}") / F.col("s")).otherwise(F.lit(0.0))).drop("s")
+            done += 1
+        now = stages.put(now, "cells")
+        if done >= rounds:
+            last = miss if done > rounds else 2.0
+            misses = [now.groupBy(d).agg(F.abs(F.sum("w") - F.first(f"target_{d}")).alias("miss")).agg(F.coalesce(F.max("miss"), F.lit(0.0)).alias("miss")) for d in targets]
+            miss = reduce(DataFrame.unionByName, misses).agg(F.max("miss")).first()[0] or 0.0
+    if miss > tolerance:
+        warnings.warn(f"after {done} rounds a marginal misses its target by {miss:.2g}", stacklevel=2)
     return now.drop(*[f"target_{d}" for d in targets])
 
 
-def calibrate(cells: DataFrame, fraction: float, stages: Stages, steps: int = CALIBRATIONS) -> DataFrame:
+def calibrate(cells: DataFrame, fraction: float, stages: Stages) -> DataFrame:
     """Raked cells with factor f and probability p = min(1, s * f); the expected tokens are the budget.
 
-    Each step sums the cells that are full and those that are not; only those two numbers reach the driver.
+    Each step sums the cells that are full and those that are not; only these numbers reach the driver, and
+    steps end when the budget is met or every cell is full.
     """
     shares = cells.crossJoin(F.broadcast(cells.agg(F.sum("tokens").cast("double").alias("all")))).withColumn("f", F.col("w") * F.col("all") / F.col("tokens"))
     shares = stages.put(shares, "shares")
     scale = fraction
-    for _ in range(steps):
+    for _ in range(MOST_CALIBRATIONS):
         p = F.least(F.lit(1.0), F.lit(scale) * F.col("f"))
         full, free, total = shares.agg(F.coalesce(F.sum(F.when(p >= 1, F.col("tokens"))), F.lit(0)), F.coalesce(F.sum(F.when(p < 1, p * F.col("tokens"))), F.lit(0.0)), F.coalesce(F.max("all"), F.lit(0.0))).first()
-        if free <= 0 or (fraction * total - full) / free <= 1:
+        if free <= 0 or (fraction * total - full) / free <= 1 + 1e-12:
             break
         scale *= (fraction * total - full) / free
     return shares.withColumn("p", F.least(F.lit(1.0), F.lit(scale) * F.col("f")))
