@@ -467,7 +467,19 @@ def compare_rules(spark, sf):
     return evidence.compare_with_rules(match.rule_counts(part(spark, sf), RuleSet([R1])), evidence.semantic_summary(vectors.cosine_pairs(embedded(spark, sf), 0.4)))
 
 
-@query(None)
+_CANDIDATES = """,
+tx AS (SELECT row_id, 'p_name: ' || p_name || ' | p_brand: ' || p_brand || ' | p_type: ' || p_type AS text FROM r),
+tw AS (SELECT row_id, unnest(regexp_extract_all(lower(text), '\\w\\w+')) AS term FROM tx), tf AS (SELECT row_id, term, count(*) AS tf FROM tw GROUP BY ALL),
+vo AS (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 256),
+xw AS (SELECT row_id, term, (ln(tf) + 1) * (ln((1 + (SELECT count(*) FROM r)) / (1.0 + df)) + 1) AS w FROM tf JOIN vo USING (term)),
+nw AS (SELECT row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS w FROM xw),
+cs AS (SELECT a.row_id AS idx_a, b.row_id AS idx_b, sum(a.w * b.w) AS s FROM nw a JOIN nw b ON a.term = b.term AND a.row_id < b.row_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.85),
+best AS (SELECT idx_a, idx_b FROM (SELECT idx_a, idx_b, round(s, 4) AS s FROM cs ORDER BY s DESC, idx_a, idx_b LIMIT 1000) ORDER BY s DESC, idx_a, idx_b LIMIT 200),
+j AS ("""
+_PIPELINE = _EVIDENCE.replace(",\nj AS (", _CANDIDATES, 1).replace("FROM d JOIN k a ON a.row_id = d.idx_a", "FROM best d JOIN k a ON a.row_id = d.idx_a")
+
+
+@query(f"WITH {_PIPELINE} SELECT field, frequency, exact_matches, fuzzy_matches, total_compared, match_type, weight_suggestion, CASE field WHEN 'p_name' THEN 0 WHEN 'p_brand' THEN 1 WHEN 'p_type' THEN 2 ELSE 3 END AS ord FROM ev")
 def evidence_pipeline(spark, sf):
     return evidence.evidence_pipeline(part(spark, sf), evidence.offline_adjudicator(), 0.85).drop("examples")
 
