@@ -5,7 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from amalgam.functions import cleanse
 from amalgam.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +35,14 @@ def test_query(spark, con, name):
         assert rows(got) == rows(want)
 
 
+def test_phones_of_sixteen_characters(spark, tmp_path):
+    """Keys of five digits and more: the operator counts 15 characters after a plus, the query 15 in all, as its SQL."""
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES (9999, 24), (10000, 3), (10000, 10), (123456, 7), (899999, 24)) t(c_custkey, c_nationkey)) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    want = duckdb.sql(ORACLE["clean_phone"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet'")).df()
+    assert rows(QUERIES["clean_phone"](spark, str(tmp_path)).toPandas()) == rows(want)
+    assert spark.range(1).select(cleanse.validate_phone(F.lit("+1 (10000) 55-10"))).head()[0]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
